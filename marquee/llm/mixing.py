@@ -2,8 +2,8 @@
 
 Every row has a 60-bit hash. Of a source with target t and s words in all, the mix takes every
 row floor(t/s) times, and the rows whose hash lies below a threshold once more. The threshold
-comes from nested histograms: words by source and the first 20 bits of the hash; then, of the
-bucket that crosses the budget alone, by the next 20 bits, and again, after
+comes from nested histograms: words by source and the first 12 bits of the hash; then, of the
+bucket that crosses the budget alone, by the next 12 bits, and so on, after
 which a bucket is one hash value. No row is sorted or moved: each level is one aggregation
 with partial sums before its shuffle, and the end is one filter on the hash.
 """
@@ -17,7 +17,7 @@ from marquee.llm.common import SPACE_GAP, materialise, word_array
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-LEVELS, BITS = 3, 20
+LEVELS, BITS = 5, 12
 
 
 def row_hash(*cols: Column) -> Column:
