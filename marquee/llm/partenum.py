@@ -11,10 +11,17 @@ at least one choice of cells has equal elements, and the sets share that signatu
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marquee.llm.common import drop_path, materialise
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MEMO_WORDS = 300_000
@@ -41,28 +48,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, n: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's n-word shingles; with fewer words, of the
-    whole sequence; without words, none. Words stand between ASCII white space, A-Z lowered."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    m = min(n, len(h))
-    out = h[: len(h) - m + 1].copy()
-    for i in range(1, m):
-        out = mix(out * GOLD + h[i : len(h) - m + 1 + i])
-    return np.unique(mix(out + np.uint64(m)))
-
-
-def band_of(size: int, num: int, den: int) -> tuple[int, int]:
-    """Number and largest size of the band of `size`, for a similarity of num / den."""
-    low, i = 1, 0
-    while True:
-        high = low * den // num
-        if size <= high:
-            return i, high
-        low, i = high + 1, i + 1
+def set_arrays(texts, n: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a batch of texts (bytes or None): one array of 64-bit shingle hashes, each
+    text's sorted and distinct, and their number by text. A text with fewer than n words has
+    its whole sequence as one shingle; without words, none. Words stand between ASCII white
+    space, A-Z lowered."""
+    out, sizes = [], []
+    for t in texts:
+        words = t.translate(LOWER).split() if t else ()
+        if not words:
+            sizes.append(0)
+            continue
+        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        m = min(n, len(h))
+        s = h[: len(h) - m + 1]
+        for i in range(1, m):
+            s = mix(s * GOLD + h[i : len(h) - m + 1 + i])
+        s = mix(s + np.uint64(m))
+        s.sort()
+        if len(s) > 1:
+            s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+        out.append(s)
+        sizes.append(len(s))
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.array(sizes, np.int64)
 
 
 class PartEnum:
@@ -84,37 +92,369 @@ class PartEnum:
         """(k, parts, cells that may differ): linked sets of bands band - 1 and band differ
         in at most k elements; with parts * (k2 + 1) > k some part differs in k2 at most."""
         if band not in self.plans:
-            self.band(1) if not self.bands else None
             while len(self.bands) <= band:
-                self.band(self.bands[-1][1] + 1)
+                self.band(self.bands[-1][1] + 1 if self.bands else 1)
             k = 2 * self.bands[band][1] * (self.den - self.num) // (self.den + self.num)
             k2 = min(self.k2, k)
             self.plans[band] = (k, k // (k2 + 1) + 1, k2)
         return self.plans[band]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return s
-        own = self.band(len(s))
-        return np.concatenate([self._of(s, b) for b in (own, own + 1)])
-
-    def _of(self, s: np.ndarray, band: int) -> np.ndarray:
-        k, n1, k2 = self.plan(band)
-        n2 = self.n2 if k2 else 1
-        place = mix(s ^ np.uint64(0xD6E8FEB86659FD93))
-        cell = (place % np.uint64(n1 * n2)).astype(np.int64)
-        # A cell's hash: the sum of its elements' hashes, wrapping; order doesn't matter.
-        sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, cell, mix(s + np.uint64(band)))
-        sums = sums.reshape(n1, n2)
-        picks = list(combinations(range(n2), n2 - k2))
-        tag = (np.arange(n1, dtype=np.uint64) + np.uint64(band << 32))[:, None]
-        out = [mix(mix(sum((mix(sums[:, c] + np.uint64(c + 1)) for c in pick), tag[:, 0] * GOLD)) + np.uint64(j)) for j, pick in enumerate(picks)]
-        return np.concatenate(out)
-
-
-def sketch(s: np.ndarray) -> bytes:
+    def signatures(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a batch of sets, and the number of each one's set in the batch."""
+        sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        some = np.flatnonzero(sizes)
+        own = np.array([self.band(int(n)) for n in sizes[some]], np.int64)
+        doc = np.repeat(np.arange(len(some)), sizes[some])
+        place = mix(flat ^ np.uint64(0xD6E8FEB86659FD93))
+        for step in (0, 1):
+            band = own + step
+            plans = {b: self.plan(b) for b in set(band.tolist())}
+            parts = np.array([plans[b][1] for b in band.tolist()], np.int64)
+            # A set whose k is 0 has one cell: its signature is the set itself.
+            cells = np.array([plans[b][1] * (self.n2 if plans[b][2] else 1) for b in band.tolist()], np.int64)
+            base = np.concatenate(([0], np.cumsum(cells)))
+            at = base[doc] + (place % cells.astype(np.uint64)[doc]).astype(np.int64)
+            # A cell's hash: the sum of its elements' hashes, wrapping; order doesn't matter.
+            sums = np.zeros(int(base[-1]), np.uint64)
+            np.add.at(sums, at, mix(flat + band.astype(np.uint64)[doc]))
+            for k2 in {p[2] for p in plans.values()}:
+                n2 = self.n2 if k2 else 1
+                pick = np.array([plans[b][2] == k2 for b in band.tolist()])
+                d = np.repeat(np.flatnonzero(pick), parts[pick])
+                grid = sums[np.repeat(pick, cells)].reshape(-1, n2)
+                first = np.cumsum(parts[pick]) - parts[pick]
+                part = np.arange(len(d)) - np.repeat(first, parts[pick])
+                tag = mix((band[d].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64))
+                for j, chosen in enumerate(combinations(range(n2), n2 - k2)):
+                    v = tag + np.uint64(j)
+                    for c in chosen:
+                        v = mix(v) + grid[:, c]
+                    sigs.append(mix(v))
+                    owners.append(some[d])
+        return np.concatenate(sigs), np.concatenate(owners)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
     """Parities of the set's elements in SKETCH_BITS cells: two sets differ in at least as
     many elements as their sketches differ in bits."""
     n = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
-    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
+#: Signatures of one map task that share a value this often are spread over several owners.
+SPREAD = 64
+#: Rows of a signature's group that one task compares with as many others at most.
+BLOCK = 4000
+#: Bytes of packed signatures that a map task holds before it sends them.
+SEND_BYTES = 48 << 20
+HUB_ROUNDS = 2
+#: Nodes with a signature in common up to which their keys are broadcast.
+BROADCAST_ROWS = 500_000
+
+ROWS = "owner int, id long, text_hash long, node long, size long, sketch array<long>, packed binary"
+
+
+def _pack(sig: np.ndarray, node: np.ndarray, copies: np.ndarray) -> bytes:
+    """Sorted signatures with their nodes: what the owner of a signature range gets."""
+    nodes, at = np.unique(node, return_inverse=True)
+    width = 1 if len(nodes) < 256 else 2 if len(nodes) < 65536 else 4
+    o = np.argsort(sig, kind="stable")
+    gaps = np.diff(sig[o], prepend=np.uint64(0))
+    body = b"".join((np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, k]).tobytes()) for k in range(8))
+    return struct.pack("<III", len(sig), len(nodes), width) + nodes.tobytes() + at[o].astype(f"<u{width}").tobytes() + np.packbits(copies[o]).tobytes() + body
+
+
+def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, width = struct.unpack_from("<III", b)
+    at = 12
+    nodes = np.frombuffer(b, np.int64, m, at)
+    at += 8 * m
+    node = nodes[np.frombuffer(b, f"<u{width}", n, at)]
+    at += width * n
+    copies = np.unpackbits(np.frombuffer(b, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    at += (n + 7) // 8
+    gaps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).reshape(-1)
+    return np.cumsum(gaps, dtype=np.uint64), node, copies
+
+
+def _node_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 63-bit key of each set; equal sets have equal keys."""
+    zero = np.zeros(1, np.uint64)
+    ends = np.concatenate((zero, np.cumsum(flat, dtype=np.uint64)))
+    twice = np.concatenate((zero, np.cumsum(mix(flat), dtype=np.uint64)))
+    b = np.concatenate(([0], np.cumsum(sizes)))
+    sums = (ends[b[1:]] - ends[b[:-1]]) * GOLD
+    more = twice[b[1:]] - twice[b[:-1]]
+    return (mix(mix(sums + sizes.astype(np.uint64)) + more) >> np.uint64(1)).astype(np.int64)
+
+
+def _sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, owners: int) -> DataFrame:
+    """A row for each document (owner null), and rows of packed signatures by owner."""
+    schema = pa.schema([("owner", pa.int32()), ("id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.list_(pa.int64())), ("packed", pa.binary())])
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        sig, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        o = np.argsort(sig, kind="stable")
+        sig, node = sig[o], node[o]
+        new = np.concatenate(([True], sig[1:] != sig[:-1]))
+        start = np.flatnonzero(new)
+        many = np.diff(np.concatenate((start, [len(sig)]))) >= SPREAD
+        owner = (sig % np.uint64(owners)).astype(np.int64)
+        copy = np.zeros(len(sig), bool)
+        if many.any():
+            # Hot in this task: its rows go to an owner that its first node picks, and one
+            # copy, which tells of them but isn't a row, to the signature's own.
+            hot = np.repeat(many, np.diff(np.concatenate((start, [len(sig)]))))
+            lead = np.repeat(node[start], np.diff(np.concatenate((start, [len(sig)]))))
+            own = owner[start[many]]
+            owner[hot] = (mix(lead[hot].astype(np.uint64) ^ sig[hot]) % np.uint64(owners)).astype(np.int64)
+            sig, node, owner, copy = np.concatenate((sig, sig[start[many]])), np.concatenate((node, node[start[many]])), np.concatenate((owner, own)), np.concatenate((copy, np.ones(many.sum(), bool)))
+        o = np.argsort(owner, kind="stable")
+        sig, node, owner, copy = sig[o], node[o], owner[o], copy[o]
+        cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            none = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), none, none, none, none, pa.array([None], pa.list_(pa.int64())), pa.array([_pack(sig[a:b], node[a:b], copy[a:b])], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, plan, seen = WordHashes(), PartEnum(num, den), set()
+        held: list = []
+        size = 0
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                flat, sizes = set_arrays((t.as_py() for t in part.column(1)), n, memo)
+                node = _node_keys(flat, sizes)
+                ends = np.cumsum(sizes)
+                marks = [sketch(flat[e - k : e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([None] * len(part), pa.int32()), part.column(0), part.column(2), pa.array(node), pa.array(sizes), pa.ListArray.from_arrays(np.arange(0, len(marks) * 8 + 1, 8, dtype=np.int32), np.concatenate(marks)), pa.array([None] * len(part), pa.binary())], schema=schema)
+                fresh = np.zeros(len(part), bool)
+                for i, k in enumerate(node.tolist()):
+                    if sizes[i] and k not in seen:
+                        fresh[i] = True
+                        seen.add(k)
+                if len(seen) > 1_000_000:
+                    seen = set()
+                sig, at = plan.signatures(flat[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0))
+                held.append((sig, node[at]))
+                size += 16 * len(sig)
+                if size > SEND_BYTES:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, ROWS)
+
+
+def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
+    """(sig, node) of signatures that more than one node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for o, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.setdefault(o, []).append(p.as_py())
+        for parts in held.values():
+            sig, node, copy = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+            o = np.lexsort((copy, node, sig))
+            sig, node, copy = sig[o], node[o], copy[o]
+            keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+            sig, node, copy = sig[keep], node[keep], copy[keep]
+            start = np.concatenate(([True], sig[1:] != sig[:-1]))
+            n = np.diff(np.concatenate((np.flatnonzero(start), [len(sig)])))
+            keep = np.repeat(n > 1, n) & ~copy
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "node"])
+
+    packed = rows.where(F.col("owner").isNotNull()).select("owner", "packed")
+    return packed.repartition(owners, "owner").mapInArrow(run, "sig long, node long")
+
+
+def _most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Elements in which linked sets of sizes a and b differ at most."""
+    return (a + b) * (den - num) // (den + num)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of every node of edges (a, b): comp is the least node that links reach.
+
+    Alternates large-star and small-star steps; each is joins and partial minima, written to
+    the shared folder, so a star around a hot node is never in one task."""
+    spark = edges.sparkSession
+    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
+        sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = sym.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = sym.join(least, sym.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(down, large.a == down.u)
+        step = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        old, e = e, materialise(step, "edges")
+        drop_path(spark, old.scratch)
+    labels = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return labels.union(e.select(F.col("b"), F.col("b")).distinct())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets' Jaccard similarity is num / den or more, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for x, y in zip(t.column(2), t.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                i = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * i >= num * (len(x) + len(y) - i))
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    x = sets.select(F.col("node").alias("a"), F.col("elements").alias("xa"))
+    y = sets.select(F.col("node").alias("b"), F.col("elements").alias("xb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def _elements(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, elements) of nodes: the sets of one row each, from its text, read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                flat, sizes = set_arrays((t.as_py() for t in part.column(0)), n, memo)
+                ends = np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(_node_keys(flat, sizes)), pa.array([flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["node", "elements"])
+
+    reps = nodes.select(F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
+    reps = F.broadcast(reps) if nodes.count() <= BROADCAST_ROWS else reps
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.xxhash64("text") == F.col("rhash")), "left_semi")
+    return rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, elements binary")
+
+
+def _may_link(x: str, y: str, num: int, den: int):
+    """Sizes and sketches (columns size and sketch with these suffixes) allow a link."""
+    a, b = F.col(f"size{x}"), F.col(f"size{y}")
+    differ = sum((F.bit_count(F.col(f"sketch{x}")[i].bitwiseXOR(F.col(f"sketch{y}")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (den * F.least(a, b) >= num * F.greatest(a, b)) & (differ * (den + num) <= (a + b) * (den - num))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.select("node", "size", "sketch", F.col("node").alias("comp"))
+    return nodes.select("node", "size", "sketch").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _hub_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
+    """For each node one hub, of those that its signatures' groups have and that may link:
+    (a, b), in different components."""
+    hubs = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("x")).select("sig", "x.hub")
+    pairs = shared.join(hubs, "sig").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    x = _labelled(nodes, labels)
+    pairs = pairs.join(x.select(*(F.col(c).alias(f"{c}1") for c in x.columns)), F.col("a") == F.col("node1")).join(x.select(*(F.col(c).alias(f"{c}2") for c in x.columns)), F.col("b") == F.col("node2"))
+    pairs = pairs.where((F.col("comp1") != F.col("comp2")) & _may_link("1", "2", num, den))
+    return pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("x")).select("a", "x.b")
+
+
+def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners: int, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) that share a signature, are in different components and may link."""
+    x = _labelled(nodes, labels)
+    rows = shared.join(x, "node")
+    groups = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2")
+    live = rows.join(groups.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig")
+    live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        sig, i, j, block, node, comp, size = (t.column(k).to_numpy() for k in range(7))
+        marks = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        group = np.cumsum(new)
+        a, b = [], []
+        at = np.arange(len(t))
+        for shift in range(1, len(t)):
+            at = at[: np.searchsorted(at, len(t) - shift)]
+            at = at[group[at] == group[at + shift]]
+            if not len(at):
+                break
+            to = at + shift
+            ok = (comp[at] != comp[to]) & ((i[at] == j[at]) | (block[at] != block[to])) & (den * np.minimum(size[at], size[to]) >= num * np.maximum(size[at], size[to]))
+            p, q = at[ok], to[ok]
+            ok = np.bitwise_count(marks[p] ^ marks[q]).sum(1) <= _most(size[p], size[q], num, den)
+            a.append(node[p[ok]])
+            b.append(node[q[ok]])
+        a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b))
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n < 20_000:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = [t.column(k).to_numpy() for k in range(3)]
+            same = np.logical_and.reduce([k == k[-1] for k in key])
+            cut = int(np.argmax(same))
+            if cut:
+                yield compare(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                n = len(t) - cut
+        if n:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    sent = live.repartition(owners, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return sent.mapInArrow(run, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id, n_shingles (size of its set) and component_id.
+
+    Two rows link when den * |intersection| >= num * |union| of their sets of distinct n-word
+    shingles; a text with fewer words has its whole sequence as one shingle. component_id is
+    the smallest id that links reach, the row's own included. A null text, and one without
+    words, has an empty set and links with nothing. Ids may repeat: rows are linked by text;
+    a null id is never a component's id unless all ids of it are null. Other columns are not
+    read; an empty table gives no rows.
+
+    Rows of equal sets are one node. Nodes that share a signature are compared by sketches,
+    which never part linked sets, and exactly after that: first every node with one hub of
+    its groups, in HUB_ROUNDS orders, so that a family of near copies becomes one component
+    at the cost of one pair a node; then all pairs whose components still differ, in blocks.
+    Pairs within a component are not compared, as they can't change it."""
+    spark = docs.sparkSession
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = materialise(_sets_and_signatures(docs, id_col, text_col, n, num, den, owners), "sets")
+    shared = materialise(_shared_signatures(rows, owners), "signatures")
+    each = rows.where(F.col("owner").isNull()).select("id", "text_hash", "node", "size", "sketch")
+    near = shared.select("node").distinct()
+    nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
+    nodes = materialise(nodes, "nodes")
+    sets = materialise(_elements(docs, nodes, n, id_col, text_col), "elements")
+    edges = None
+    labels = None
+    for turn in range(HUB_ROUNDS):
+        pairs = _hub_pairs(shared, nodes, labels, turn, num, den)
+        new = materialise(_verified(pairs, sets, num, den), "links")
+        edges = new if edges is None else edges.union(new)
+        labels = components(edges)
+    rest = materialise(_rest_pairs(shared, nodes, labels, owners, num, den), "pairs")
+    more = materialise(_verified(rest, sets, num, den), "links")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
+    firsts = each.where("size > 0").groupBy("node").agg(F.min("id").alias("first"))
+    joined = labels.join(firsts, "node")
+    least = joined.groupBy("comp").agg(F.min("first").alias("least"))
+    named = joined.join(least, "comp").select("node", "least")
+    found = firsts.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component"))
+    out = each.join(found, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exactdedup, mixing, quality, tokencount, urlfilter, warc
+from marquee.llm import decontaminate, exactdedup, mixing, partenum, quality, tokencount, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_url_filter, op5_mixing, op7_token_counts, op8_quality, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_url_filter, op5_mixing, op6_ngram_jaccard, op7_token_counts, op8_quality, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op1_decontamination": r"""
