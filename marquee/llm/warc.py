@@ -28,6 +28,8 @@ PADDING = "P*M\x18\x00\x00\x00\x00"
 #: Bytes of records at an archive's start from which its dictionary is built, and its size.
 SAMPLE_BYTES, DICT_BYTES = 2 << 20, 32 << 10
 LEVEL = 3
+#: Bytes that are given to the decompressor at a time.
+PIECE = 32 << 10
 #: Payloads shorter than this are never stored as revisits.
 LEAST_REVISIT = 100
 EPOCH = "1970-01-01T00:00:00Z"
@@ -137,10 +139,16 @@ def frames_of(data: bytes) -> Iterator[tuple[str, bytes]]:
                 yield "dict", d
             at += 8 + n
             continue
-        d = codec.decompressobj()
-        out = d.decompress(memoryview(data)[at:])
-        at = len(data) - len(d.unused_data)
-        yield "record", out
+        # In pieces, as what stands behind a frame's end is copied.
+        d, out = codec.decompressobj(), []
+        while not d.eof:
+            piece = data[at : at + PIECE]
+            if not piece:
+                raise ValueError("an archive ends within a record")
+            out.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        yield "record", b"".join(out)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
