@@ -48,13 +48,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return t.select("source", "source_size", F.when(cut, F.lit(float(cap)) * F.col("source_size")).otherwise(F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each row of docs: id, source, size (words), source_size, target, copies (how
-    often the mix takes the row) and taken (copies * size).
-
-    Null texts have size 0; null sources are one source, last in order. Rows that agree in id,
-    source and size share a hash and are taken together. Reruns agree, as the hash depends on
-    the row alone. An empty table gives no rows; a source without words has target 0."""
+def _plan(docs: DataFrame, weights, cap: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with size and hash, and of each source: target, whole passes, hash threshold."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long").alias("size"))
     base = materialise(base.withColumn("h", row_hash(F.col("id"))), "mix")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -79,7 +74,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id"
         plan = plan.select("source", "source_size", "target", "passes", (F.col("left") - F.coalesce("before", F.lit(0))).alias("left"), F.coalesce("edge", F.col("floor") + F.col("width")).alias("floor"), F.when(F.col("edge").isNull(), F.lit(0)).otherwise(F.lit(1 << shift)).cast("long").alias("width"), F.coalesce("words", F.lit(0)).alias("words"))
         plan = materialise(plan, f"mixplan{level}")
     # The last bucket is one hash value: it is in where that comes nearer to the target.
-    last = plan.select(F.col("source").alias("s3"), "source_size", "target", "passes", F.when((F.col("width") > 0) & (2 * F.col("left") >= F.col("words")), F.col("floor") + 1).otherwise(F.col("floor")).alias("threshold"))
-    out = base.join(last, base.source.eqNullSafe(last.s3))
-    copies = F.least(F.col("passes") + F.when((F.col("h") < F.col("threshold")) & (F.col("passes") < cap), 1).otherwise(0), F.lit(cap))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return base, plan.select(F.col("source").alias("s3"), "source_size", "target", "passes", F.when((F.col("width") > 0) & (2 * F.col("left") >= F.col("words")), F.col("floor") + 1).otherwise(F.col("floor")).alias("threshold"))
+
+
+def _copies(h: Column, cap: int) -> Column:
+    extra = F.when((h < F.col("threshold")) & (F.col("passes") < cap), 1).otherwise(0)
+    return F.least(F.col("passes") + extra, F.lit(cap)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row for each row of docs: id, source, size (words), source_size, target, copies (how
+    often the mix takes the row) and taken (copies * size).
+
+    Null texts have size 0; null sources are one source, last in order. Rows that agree in id,
+    source and size share a hash and are taken together. Reruns agree, as the hash depends on
+    the row alone. An empty table gives no rows; a source without words has target 0."""
+    base, plan = _plan(docs, weights, cap, id_col, text_col, source_col)
+    out = base.join(plan, base.source.eqNullSafe(plan.s3)).withColumn("copies", _copies(F.col("h"), cap))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes, with their columns and size, target, copies and
+    taken. The decision is a function of a row and its source's threshold, so it is made
+    while the rows pass. Columns of docs of the new names are replaced."""
+    _, plan = _plan(docs, weights, cap, id_col, text_col, source_col)
+    plan = plan.select("s3", F.col("target").alias("_target"), "threshold", "passes")
+    names = ("size", "target", "copies", "taken")
+    docs = docs.drop(*names)
+    out = docs.join(plan, docs[source_col].eqNullSafe(plan.s3)).withColumn("copies", _copies(row_hash(docs[id_col]), cap)).where("copies > 0")
+    out = out.withColumn("size", F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long"))
+    return out.select(*docs.columns, "size", F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -416,15 +416,11 @@ def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners:
     return sent.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_shingles (size of its set) and component_id.
+def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text_hash, node, size), and the labels (node, comp) of nodes with links.
 
     Two rows link when den * |intersection| >= num * |union| of their sets of distinct n-word
-    shingles; a text with fewer words has its whole sequence as one shingle. component_id is
-    the smallest id that links reach, the row's own included. A null text, and one without
-    words, has an empty set and links with nothing. Ids may repeat: rows are linked by text;
-    a null id is never a component's id unless all ids of it are null. Other columns are not
-    read; an empty table gives no rows.
+    shingles; a text with fewer words has its whole sequence as one shingle.
 
     Rows of equal sets are one node. Nodes that share a signature are compared by sketches,
     which never part linked sets, and exactly after that: first every node with one hub of
@@ -451,6 +447,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     more = materialise(_verified(rest, sets, num, den), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
+    return each.select("id", "text_hash", "node", "size"), labels
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id, n_shingles (size of its set) and component_id.
+
+    component_id is the smallest id that links reach, the row's own included. A null text, and
+    one without words, has an empty set and links with nothing. Ids may repeat: rows are linked
+    by text; a null id is never a component's id unless all ids of it are null. Other columns
+    are not read; an empty table gives no rows."""
+    each, labels = linked_nodes(docs, n, num, den, id_col, text_col)
     firsts = each.where("size > 0").groupBy("node").agg(F.min("id").alias("first"))
     joined = labels.join(firsts, "node")
     least = joined.groupBy("comp").agg(F.min("first").alias("least"))
@@ -458,3 +465,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     found = firsts.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component"))
     out = each.join(found, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, less those that links join to a row of smaller id
+    (nulls last; then of smaller text hash). Rows with empty sets stay. Rows that agree in
+    both id and text stay or go together."""
+    each, labels = linked_nodes(docs, n, num, den, id_col, text_col)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    each = each.where("size > 0").join(labels, "node", "left").select("id", "text_hash", rank.alias("rank"), F.coalesce("comp", "node").alias("comp"))
+    best = each.groupBy("comp").agg(F.min("rank").alias("best"), F.max("rank").alias("last")).where("best <> last").select("comp", "best")
+    gone = materialise(each.join(best, "comp").where("rank <> best").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone._id) & (F.xxhash64(docs[text_col]) == gone._hash), "left_anti")
