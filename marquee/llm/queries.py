@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exactdedup, mixing, partenum, quality, tokencount, urlfilter, warc
+from marquee.llm import decontaminate, exactdedup, mixing, partenum, passages, quality, tokencount, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = exactdedup.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return r.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_url_filter, op5_mixing, op6_ngram_jaccard, op7_token_counts, op8_quality, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_url_filter, op5_mixing, op6_ngram_jaccard, op7_token_counts, op8_quality, op9_passages, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op1_decontamination": r"""
