@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, exactdedup, mixing, partenum, passages, quality, tokencount, urlfilter, warc
+from marquee.llm import decontaminate, exactdedup, hpylm, mixing, partenum, passages, quality, tokencount, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_url_filter, op5_mixing, op6_ngram_jaccard, op7_token_counts, op8_quality, op9_passages, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_warc, op4_url_filter, op5_mixing, op6_ngram_jaccard, op7_token_counts, op8_quality, op9_passages, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op1_decontamination": r"""
