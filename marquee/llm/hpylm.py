@@ -36,8 +36,8 @@ STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SECTION = 1024
 SEED = 7
 #: Bytes of text for each owner; tokens, words and documents that a map task holds at most.
-OWNER_BYTES = 12 << 20
-FLUSH_TOKENS, FLUSH_WORDS, FLUSH_DOCS = 4_000_000, 1 << 20, 1 << 16
+OWNER_BYTES = 4 << 20
+FLUSH_TOKENS, FLUSH_WORDS, FLUSH_DOCS = 1_500_000, 1 << 19, 1 << 15
 #: Words are told apart by 64 bits as contexts, and by the upper WORD_BITS behind one.
 WORD_BITS = 40
 BEGIN, END = np.uint64(1), np.uint64(2)
