@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of phases that have ended: it does so when the
+    driver collects garbage, which may else be long after a phase's result is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (lower() also folds letters beyond ASCII)."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, materialise, scratch_path
+from marquee.llm.common import crc_mod, free_shuffles, materialise, scratch_path
 from marquee.llm.partenum import LOWER, mix
 
 #: Sweeps over the contexts before the parent is sampled anew, and states that are averaged.
@@ -110,7 +110,6 @@ def _pairs_out(owners: int):
         occ_owner = np.argsort(owner[of_pair], kind="stable")
         occ_cuts = np.searchsorted(owner[of_pair][occ_owner], np.arange(owners + 1))
         dk, di, dh = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), (np.int64, np.int64, np.uint8), strict=True))
-        known = np.array([d[1] is not None for d in docs], np.uint8) if any(d[1] is None for d in docs) else np.ones(len(docs), np.uint8)
         for o in range(owners):
             mine = order[cuts[o] : cuts[o + 1]]
             occ = occ_owner[occ_cuts[o] : occ_cuts[o + 1]]
@@ -119,7 +118,7 @@ def _pairs_out(owners: int):
             us, ui = np.unique(keys[pu[mine]], return_inverse=True)
             per_pair = np.bincount(np.searchsorted(mine, of_pair[occ]), minlength=len(mine)).astype(np.uint32)
             some, at = np.unique(doc[occ], return_inverse=True)
-            b = pack(gaps(us), np.bincount(ui, minlength=len(us)).astype(np.uint32), keys[pw[mine]] >> np.uint64(64 - WORD_BITS), (keys[pw[mine]] == END).astype(np.uint8), per_pair, at.astype(np.uint32), count[occ].astype(np.uint32), gaps(dk[some]), gaps(di[some]), dh[some], known[some])
+            b = pack(gaps(us), np.bincount(ui, minlength=len(us)).astype(np.uint32), keys[pw[mine]] >> np.uint64(64 - WORD_BITS), per_pair, at.astype(np.uint32), count[occ].astype(np.uint32), gaps(dk[some]), gaps(di[some]), dh[some])
             yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([int(dk[0])], pa.int64()), pa.array([b], pa.binary())], names=["owner", "src", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +140,7 @@ def _pairs_out(owners: int):
     return run
 
 
-STATE = "owner int, packed binary, train_tokens long, known_words long, ones long, twos long, pairs long, train_docs long"
+STATE = "owner int, packed binary, occurrences binary, train_tokens long, known_words long, ones long, twos long, pairs long, train_docs long"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,24 +152,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.setdefault(o, []).append((src, p.as_py()))
     for o, parts in held.items():
         parts.sort()
-        us, ws, es, occ_n, occ_doc, occ_count, docs, base, ends = [], [], [], [], [], [], [], 0, []
+        us, ws, occ_n, occ_doc, occ_count, docs, base = [], [], [], [], [], [], 0
         for src, p in parts:
-            ug, un, w, e, per, doc, n, dk, di, dh, _ = unpack(p)
+            ug, un, w, per, doc, n, dk, di, dh = unpack(p)
             us.append(np.repeat(np.cumsum(ug, dtype=np.uint64), un))
             ws.append(w)
-            es.append(e)
             occ_n.append(per)
             occ_doc.append(doc.astype(np.int64) + base)
             occ_count.append(n)
             docs.append((np.full(len(dk), src, np.int64), np.cumsum(dk), np.cumsum(di), dh))
             base += len(dk)
-        u, w, e, per, doc, n = (np.concatenate(x) for x in (us, ws, es, occ_n, occ_doc, occ_count))
+        u, w, per, doc, n = (np.concatenate(x) for x in (us, ws, occ_n, occ_doc, occ_count))
         src, dk, di, dh = (np.concatenate(x) for x in zip(*docs, strict=True))
         order = np.lexsort((w, u))
         new = np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])))
         number = np.empty(len(u), np.int64)
         number[order] = np.cumsum(new) - 1
-        u, w, e = u[order][new], w[order][new], e[order][new]
+        u, w = u[order][new], w[order][new]
         pair = np.repeat(number, per)
         train = (dh[doc] & 1) == 0
         c = np.bincount(pair[train], n[train], len(u)).astype(np.int64)
@@ -178,9 +176,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cu = np.bincount(ui, c, len(contexts)).astype(np.int64)
         real = contexts != BEGIN
         by = np.argsort(pair, kind="stable")
-        state = pack(gaps(contexts), np.bincount(ui, minlength=len(contexts)).astype(np.uint32), w, e, c.astype(np.uint32), np.bincount(pair, minlength=len(u)).astype(np.uint32), doc[by].astype(np.uint32), n[by], gaps(src), gaps(dk), gaps(di), dh)
+        state = pack(gaps(contexts), np.bincount(ui, minlength=len(contexts)).astype(np.uint32), w, c.astype(np.uint32))
+        occurrences = pack(np.bincount(pair, minlength=len(u)).astype(np.uint32), doc[by].astype(np.uint32), n[by], gaps(src), gaps(dk), gaps(di), dh)
         nums = [int(cu[real].sum()), int((cu[real] > 0).sum()), int((c == 1).sum()), int((c == 2).sum()), int((c > 0).sum()), int(cu[~real].sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([state], pa.binary()), *(pa.array([x], pa.int64()) for x in nums)], names=["owner", "packed", "train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([state], pa.binary()), pa.array([occurrences], pa.binary()), *(pa.array([x], pa.int64()) for x in nums)], names=["owner", "packed", "occurrences", "train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"])
 
 
 class Restaurants:
@@ -245,12 +244,14 @@ class Restaurants:
 class _Owner:
     """An owner's state, unpacked."""
 
-    def __init__(self, packed: bytes):
-        ug, un, self.w, self.e, c, self.per, self.doc, self.times, src, dk, di, self.dh = unpack(packed)
+    def __init__(self, packed: bytes, occurrences: bytes | None = None):
+        ug, un, self.w, c = unpack(packed)
         self.contexts = np.cumsum(ug, dtype=np.uint64)
         self.ui = np.repeat(np.arange(len(un)), un)
         self.c = c.astype(np.int64)
-        self.src, self.dk, self.di = np.cumsum(src), np.cumsum(dk), np.cumsum(di)
+        if occurrences:
+            self.per, self.doc, self.times, src, dk, di, self.dh = unpack(occurrences)
+            self.src, self.dk, self.di = np.cumsum(src), np.cumsum(dk), np.cumsum(di)
         self.cu = np.bincount(self.ui, self.c, len(un))
         self.words, self.wi = np.unique(self.w, return_inverse=True)
 
@@ -324,7 +325,7 @@ def _scores(g: dict, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                s = _Owner(row["packed"])
+                s = _Owner(row["packed"], row["occurrences"])
                 p = np.zeros(len(s.w))
                 states = list(range(1 + SWEEPS * rounds))[-SAMPLES:]
                 for k, (r, p1) in enumerate(s.chain(row["owner"], [row[f"answer{k}"] for k in range(rounds)], g | {"tops": list(g["tops"])})):
@@ -404,15 +405,17 @@ def language_scores(docs: DataFrame, held_out_of: int = 5, rounds: int = 2, id_c
     state = _bucketed(sent.repartition(owners, "owner").mapInArrow(_merge, STATE), owners, "contexts")
     s = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"))).first()
     g = {"N": s.train_tokens + s.train_docs, "V": s.known_words + (s.train_docs > 0), "train_docs": s.train_docs, "d": discount(s.ones, s.twos), "d1": 0.7, "tops": []}
-    joined, tables = state.select("owner", "packed"), [state.table_name]
+    free_shuffles(spark)
+    joined, tables = state.select("owner", "packed", "occurrences"), [state.table_name]
     for turn in range(rounds):
-        asked = joined.mapInArrow(_requests(owners, g, turn), "word_owner int, owner int, packed binary").repartition(owners, "word_owner")
+        asked = joined.drop("occurrences").mapInArrow(_requests(owners, g, turn), "word_owner int, owner int, packed binary").repartition(owners, "word_owner")
         answers = materialise(asked.mapInArrow(_parent(g, turn), "owner int, word_owner int, packed binary, top long, tables long, ones long, twos long"), "parent")
         a = answers.agg(F.sum("top"), F.sum("tables"), F.sum("ones"), F.sum("twos")).first()
         g["tops"].append((a[0] or 0, a[1] or 0))
         lists = answers.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("word_owner", "packed"))).alias("x")).select("owner", F.transform("x", lambda v: v["packed"]).alias(f"answer{turn}"))
         answer = _bucketed(lists, owners, f"answer{turn}")
         tables.append(answer.table_name)
+        free_shuffles(spark)
         joined = joined.join(answer.hint("merge"), "owner")
     parts = joined.mapInArrow(_scores(g, rounds), "src long, owner int, packed binary")
     out = materialise(parts.repartition(owners, "src").mapInArrow(_add_up(g), RESULT), "lm-scores")
