@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import drop_path, materialise
+from marquee.llm.common import drop_path, free_shuffles, materialise
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MEMO_WORDS = 300_000
@@ -151,7 +151,6 @@ HUB_ROUNDS = 2
 #: Nodes with a signature in common up to which their keys are broadcast.
 BROADCAST_ROWS = 500_000
 
-ROWS = "owner int, id long, text_hash long, node long, size long, sketch array<long>, packed binary"
 
 
 def _pack(sig: np.ndarray, node: np.ndarray, copies: np.ndarray) -> bytes:
@@ -188,9 +187,26 @@ def _node_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (mix(mix(sums + sizes.astype(np.uint64)) + more) >> np.uint64(1)).astype(np.int64)
 
 
-def _sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, owners: int) -> DataFrame:
-    """A row for each document (owner null), and rows of packed signatures by owner."""
-    schema = pa.schema([("owner", pa.int32()), ("id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.list_(pa.int64())), ("packed", pa.binary())])
+def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """A row for each document: id, text_hash, node (key of its set), size and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                flat, sizes = set_arrays((t.as_py() for t in part.column(1)), n, memo)
+                marks = [sketch(flat[e - k : e]) for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+                at = np.arange(0, len(marks) * 8 + 1, 8, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(_node_keys(flat, sizes)), pa.array(sizes), pa.ListArray.from_arrays(at, np.concatenate(marks))], names=["id", "text_hash", "node", "size", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "id long, text_hash long, node long, size long, sketch array<long>")
+
+
+def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owners: int) -> DataFrame:
+    """Rows of packed signatures by owner; a set that a map task has seen is not sent again."""
+    schema = pa.schema([("owner", pa.int32()), ("packed", pa.binary())])
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
         sig, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -213,8 +229,7 @@ def _sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, nu
         sig, node, owner, copy = sig[o], node[o], owner[o], copy[o]
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            none = pa.array([None], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), none, none, none, none, pa.array([None], pa.list_(pa.int64())), pa.array([_pack(sig[a:b], node[a:b], copy[a:b])], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), pa.array([_pack(sig[a:b], node[a:b], copy[a:b])], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, plan, seen = WordHashes(), PartEnum(num, den), set()
@@ -223,11 +238,8 @@ def _sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, nu
         for b in batches:
             for lo in range(0, len(b), 512):
                 part = b.slice(lo, 512)
-                flat, sizes = set_arrays((t.as_py() for t in part.column(1)), n, memo)
+                flat, sizes = set_arrays((t.as_py() for t in part.column(0)), n, memo)
                 node = _node_keys(flat, sizes)
-                ends = np.cumsum(sizes)
-                marks = [sketch(flat[e - k : e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([None] * len(part), pa.int32()), part.column(0), part.column(2), pa.array(node), pa.array(sizes), pa.ListArray.from_arrays(np.arange(0, len(marks) * 8 + 1, 8, dtype=np.int32), np.concatenate(marks)), pa.array([None] * len(part), pa.binary())], schema=schema)
                 fresh = np.zeros(len(part), bool)
                 for i, k in enumerate(node.tolist()):
                     if sizes[i] and k not in seen:
@@ -244,8 +256,7 @@ def _sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, nu
         if held:
             yield from send(held)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, ROWS)
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "owner int, packed binary")
 
 
 def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
@@ -267,8 +278,7 @@ def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
             keep = np.repeat(n > 1, n) & ~copy
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "node"])
 
-    packed = rows.where(F.col("owner").isNotNull()).select("owner", "packed")
-    return packed.repartition(owners, "owner").mapInArrow(run, "sig long, node long")
+    return rows.repartition(owners, "owner").mapInArrow(run, "sig long, node long")
 
 
 def _most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -364,12 +374,12 @@ def _hub_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, tu
 def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners: int, num: int, den: int) -> DataFrame:
     """All pairs (a, b) that share a signature, are in different components and may link."""
     x = _labelled(nodes, labels)
-    rows = shared.join(x, "node")
+    rows = shared.join(x.select("node", "comp"), "node")
     groups = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2")
     live = rows.join(groups.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig")
     live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
+    live = live.drop("comp").join(x, "node").select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         sig, i, j, block, node, comp, size = (t.column(k).to_numpy() for k in range(7))
@@ -429,9 +439,11 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     Pairs within a component are not compared, as they can't change it."""
     spark = docs.sparkSession
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = materialise(_sets_and_signatures(docs, id_col, text_col, n, num, den, owners), "sets")
-    shared = materialise(_shared_signatures(rows, owners), "signatures")
-    each = rows.where(F.col("owner").isNull()).select("id", "text_hash", "node", "size", "sketch")
+    # Two readings of the texts: kept for both uses, the packed signatures would lie on disk
+    # twice, and they are the largest thing here.
+    shared = materialise(_shared_signatures(_signatures(docs, text_col, n, num, den, owners), owners), "signatures")
+    free_shuffles(spark)
+    each = materialise(_sets(docs, id_col, text_col, n), "sets")
     near = shared.select("node").distinct()
     nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
     nodes = materialise(nodes, "nodes")
@@ -443,6 +455,7 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
         new = materialise(_verified(pairs, sets, num, den), "links")
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
+        free_shuffles(spark)
     rest = materialise(_rest_pairs(shared, nodes, labels, owners, num, den), "pairs")
     more = materialise(_verified(rest, sets, num, den), "links")
     if not more.isEmpty():
