@@ -258,7 +258,7 @@ class MatrixFactorization:
 
             return pd.DataFrame({"kind": ["u"] * len(us) + ["i"] * len(its), "id": [*us, *its], "bias": [*bu, *bi], "f": [*p.tolist(), *q.tolist()]})
 
-        rows = x.groupBy(F.lit(1)).applyInPandas(train, "kind string, id int, bias double, f array<double>").toArrow()
+        rows = x.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(train, "kind string, id int, bias double, f array<double>").toArrow()
         out = spark.createDataFrame(rows)
         self.users = out.where("kind = 'u'").select(F.col("id").alias("u"), F.col("bias").alias("bu"), F.col("f").alias("p"))
         self.items = out.where("kind = 'i'").select(F.col("id").alias("i"), F.col("bias").alias("bi"), F.col("f").alias("q"))
