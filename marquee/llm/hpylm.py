@@ -33,10 +33,10 @@ from marquee.llm.partenum import LOWER, mix
 #: Sweeps over the contexts before the parent is sampled anew, and states that are averaged.
 SWEEPS, SAMPLES = 2, 2
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-SECTION = 1024
+SECTION = 128
 SEED = 7
 #: Bytes of text for each owner; tokens, words and documents that a map task holds at most.
-OWNER_BYTES = 4 << 20
+OWNER_BYTES = 6 << 20
 FLUSH_TOKENS, FLUSH_WORDS, FLUSH_DOCS = 1_500_000, 1 << 19, 1 << 15
 #: Words are told apart by 64 bits as contexts, and by the upper WORD_BITS behind one.
 WORD_BITS = 40
