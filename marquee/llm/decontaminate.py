@@ -102,14 +102,18 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     # An element of `sent`: m (0: the document itself, its length in start), hash, the first
     # word of the context, and the context in which the hit can be extended.
     element = lambda m, h, start, context: F.struct(F.lit(m).alias("m"), h.alias("h"), start.cast("int").alias("start"), context.alias("context"))
+
     def of_print(p):
         start = F.greatest(p.bitwiseAND(F.lit(POSITION)).cast("int") - (span - gram), F.lit(0))
         return element(span, F.shiftright(p, 31), start, F.array_join(F.slice("words", start + 1, 2 * span - gram), " "))
 
+    def of_gram(m: int):
+        at = lambda p: p.bitwiseAND(F.lit(POSITION))
+        return lambda p: element(m, F.shiftright(p, 31), at(p), F.array_join(F.slice("words", at(p).cast("int") + 1, m), " "))
+
     sent = [F.array(element(0, F.lit(0).cast("long"), F.col("n"), F.lit(None).cast("string"))), F.transform(F.filter("prints", lambda p: _passes(bitmap, p)), of_print)]
     for m in lengths:
-        of_gram = lambda p, m=m: element(m, F.shiftright(p, 31), p.bitwiseAND(F.lit(POSITION)), F.array_join(F.slice("words", p.bitwiseAND(F.lit(POSITION)).cast("int") + 1, m), " "))
-        sent.append(F.when(F.col("n") >= m, F.transform(F.filter(_packed(F.col("words"), F.col("n"), m), lambda p: _passes(bitmap, p)), of_gram)).otherwise(F.array().cast("array<struct<m:int,h:bigint,start:int,context:string>>")))
+        sent.append(F.when(F.col("n") >= m, F.transform(F.filter(_packed(F.col("words"), F.col("n"), m), lambda p: _passes(bitmap, p)), of_gram(m))).otherwise(F.array().cast("array<struct<m:int,h:bigint,start:int,context:string>>")))
     # explode_outer, as for explode() the optimizer adds a filter that computes the array again.
     d = d.select("row", "id", *names, F.explode_outer(F.concat(*sent)).alias("e")).select("row", "id", *names, "e.*")
     found = d.join(_small(prints.withColumn("hit", F.lit(True))), ["m", "h"], "left").where((F.col("m") == 0) | F.col("hit"))
