@@ -202,12 +202,19 @@ def _owned_links(rows: DataFrame, owners: int) -> DataFrame:
     return packed.repartition(owners, "owner").mapInArrow(run, "a long, b long, ca int, cb int")
 
 
-def _around(match: np.ndarray, c: int, similarity: float) -> tuple[int, int]:
-    """The interval around c whose matches outweigh its other elements most."""
+def _around(match: np.ndarray, c: int, similarity: float, widest: bool = False) -> tuple[int, int]:
+    """The interval around c whose matches outweigh its other elements most; or the widest
+    in which they do at all, ends without a match cut off."""
     share = 2 * similarity / (1 + similarity)
     gain = np.where(match, 1.0, -share / (1 - share))
-    left, right = np.cumsum(gain[: c + 1][::-1]), np.cumsum(gain[c:])
-    return c - int(np.argmax(left)), c + int(np.argmax(right))
+    left, right = np.cumsum(gain[: c + 1][::-1]), np.cumsum(gain[c:]) - gain[c]
+    if not widest:
+        return c - int(np.argmax(left)), c + int(np.argmax(right))
+    back = np.flatnonzero(left + right.max() >= 0)
+    i = int(back[-1]) if len(back) else 0
+    j = int(np.flatnonzero(left[i] + right >= 0)[-1]) if len(back) else 0
+    inside = c - i + np.flatnonzero(match[c - i : c + j + 1])
+    return (int(inside[0]), int(inside[-1])) if len(inside) else (c, c)
 
 
 def _run(x: np.ndarray, y: np.ndarray) -> int:
@@ -223,12 +230,14 @@ def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similari
     for cx, cy in places:
         if any(i <= cx <= j and k <= cy <= m for i, j, k, m, _ in out):
             continue
-        i, j = _around(in_x, cx, similarity)
-        k, m = _around(np.isin(y, x[i : j + 1]), cy, similarity)
-        # Should the widest interval not do, the run of equal elements still may.
+        # The heaviest interval, else the widest, else the run of equal elements.
+        tries = []
+        for widest in (False, True):
+            i, j = _around(in_x, cx, similarity, widest)
+            tries.append((i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity, widest)))
         back = _run(x[: cx + 1][::-1], y[: cy + 1][::-1])
         ahead = _run(x[cx:], y[cy:])
-        for i, j, k, m in ((i, j, k, m), (cx - back + 1, cx + ahead - 1, cy - back + 1, cy + ahead - 1)):
+        for i, j, k, m in (*tries, (cx - back + 1, cx + ahead - 1, cy - back + 1, cy + ahead - 1)):
             if min(j - i, m - k) + 1 < least:
                 continue
             both = len(np.intersect1d(x[i : j + 1], y[k : m + 1]))
