@@ -47,7 +47,7 @@ def last_of_each(df: DataFrame, key: str, order: list[str], fraction: float = 0.
 def stratified_split(df: DataFrame, strata: str, ids: list[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """df with held_out: of each stratum the ceil(fraction * n) rows of least hash."""
     w = Window.partitionBy(strata)
-    x = df.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *ids), *ids)))
+    x = df.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), strata, *ids), *ids)))
     return x.withColumn("held_out", F.col("_k") <= F.ceil(F.col("_n") * fraction)).drop("_n", "_k")
 
 
