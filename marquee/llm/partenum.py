@@ -323,6 +323,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * i >= num * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
+    # The sets of few nodes are needed: they are picked before anything is shuffled.
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
     x = sets.select(F.col("node").alias("a"), F.col("elements").alias("xa"))
     y = sets.select(F.col("node").alias("b"), F.col("elements").alias("xb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -456,7 +460,7 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         free_shuffles(spark)
-    rest = materialise(_rest_pairs(shared, nodes, labels, owners, num, den), "pairs")
+    rest = _rest_pairs(shared, nodes, labels, owners, num, den)
     more = materialise(_verified(rest, sets, num, den), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
