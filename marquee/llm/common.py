@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import shutil
 import tempfile
@@ -18,6 +19,14 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
 
 
+@functools.cache
+def _local_dir() -> str:
+    """One temporary folder for this process, gone at its end."""
+    base = tempfile.mkdtemp(prefix="marquee-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"file://{base}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -28,10 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="marquee-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
