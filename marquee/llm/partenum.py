@@ -25,6 +25,8 @@ from marquee.llm.common import drop_path, free_shuffles, materialise
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MEMO_WORDS = 300_000
+#: The least width of a sketch. It grows with the set, a bit for two elements at least: a
+#: sketch much smaller than that is as good as random, and parts no two long texts.
 SKETCH_BITS = 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -135,12 +137,28 @@ class PartEnum:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in SKETCH_BITS cells: two sets differ in at least as
-    many elements as their sketches differ in bits."""
-    n = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from
+    half the set's size: two sets differ in at least as many elements as their sketches differ
+    in bits. A wide sketch becomes a narrow one by XOR of its halves (differing_bits)."""
+    bits = max(SKETCH_BITS, 1 << ((len(s) + 1) // 2 - 1).bit_length() if len(s) > 1 else 0)
+    n = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
 
 
+def differing_bits(words: np.ndarray, start: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which sketches p and q differ, at the narrower one's width. Sketch i is
+    words[start[i] : start[i + 1]]."""
+    width = np.diff(start)
+    out = np.zeros(len(p), np.int64)
+    kinds = width[p] << 32 | width[q]
+    for kind in np.unique(kinds).tolist():
+        at = np.flatnonzero(kinds == kind)
+        n = min(kind >> 32, kind & 0xFFFFFFFF)
+        x, y = (np.bitwise_xor.reduce(words[start[r[at]][:, None] + np.arange(w)].reshape(len(at), -1, n), axis=1) for r, w in ((p, kind >> 32), (q, kind & 0xFFFFFFFF)))
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
 #: Signatures of one map task that share a value this often are spread over several owners.
 SPREAD = 64
 #: Rows of a signature's group that one task compares with as many others at most.
@@ -152,7 +170,6 @@ HUB_ROUNDS = 2
 BROADCAST_ROWS = 500_000
 
 
-
 def _pack(sig: np.ndarray, node: np.ndarray, copies: np.ndarray) -> bytes:
     """Sorted signatures with their nodes: what the owner of a signature range gets."""
     nodes, at = np.unique(node, return_inverse=True)
@@ -197,7 +214,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 part = b.slice(lo, 512)
                 flat, sizes = set_arrays((t.as_py() for t in part.column(1)), n, memo)
                 marks = [sketch(flat[e - k : e]) for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
-                at = np.arange(0, len(marks) * 8 + 1, 8, dtype=np.int32)
+                at = np.cumsum([0, *map(len, marks)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(_node_keys(flat, sizes)), pa.array(sizes), pa.ListArray.from_arrays(at, np.concatenate(marks))], names=["id", "text_hash", "node", "size", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -311,7 +328,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.union(e.select(F.col("b"), F.col("b")).distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is num / den or more, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +340,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * i >= num * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    # The sets of few nodes are needed: they are picked before anything is shuffled.
+    # Sketches leave few pairs: only the sets of their nodes are made, from the texts again.
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
+    sets = materialise(_elements(docs, nodes.join(wanted, "node", "left_semi"), n, id_col, text_col), "elements")
     x = sets.select(F.col("node").alias("a"), F.col("elements").alias("xa"))
     y = sets.select(F.col("node").alias("b"), F.col("elements").alias("xb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -354,7 +371,15 @@ def _elements(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col:
 def _may_link(x: str, y: str, num: int, den: int):
     """Sizes and sketches (columns size and sketch with these suffixes) allow a link."""
     a, b = F.col(f"size{x}"), F.col(f"size{y}")
-    differ = sum((F.bit_count(F.col(f"sketch{x}")[i].bitwiseXOR(F.col(f"sketch{y}")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    s, t = F.col(f"sketch{x}"), F.col(f"sketch{y}")
+    width = F.least(F.size(s), F.size(t))
+
+    def folded(words):
+        """The words at the narrower width."""
+        at = F.sequence(F.lit(0), width - 1)
+        return F.when(F.size(words) == width, words).otherwise(F.transform(at, lambda i: F.aggregate(F.filter(words, lambda _, j: j % width == i), F.lit(0).cast("long"), lambda v, w: v.bitwiseXOR(w))))
+
+    differ = F.aggregate(F.zip_with(folded(s), folded(t), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
     return (den * F.least(a, b) >= num * F.greatest(a, b)) & (differ * (den + num) <= (a + b) * (den - num))
 
 
@@ -387,7 +412,10 @@ def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners:
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         sig, i, j, block, node, comp, size = (t.column(k).to_numpy() for k in range(7))
-        marks = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+        lists = t.column(7).combine_chunks()
+        marks = lists.flatten().to_numpy().view(np.uint64)
+        start = lists.offsets.to_numpy().astype(np.int64)
+        start -= start[0]
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         group = np.cumsum(new)
         a, b = [], []
@@ -400,7 +428,7 @@ def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners:
             to = at + shift
             ok = (comp[at] != comp[to]) & ((i[at] == j[at]) | (block[at] != block[to])) & (den * np.minimum(size[at], size[to]) >= num * np.maximum(size[at], size[to]))
             p, q = at[ok], to[ok]
-            ok = np.bitwise_count(marks[p] ^ marks[q]).sum(1) <= _most(size[p], size[q], num, den)
+            ok = differing_bits(marks, start, p, q) <= _most(size[p], size[q], num, den)
             a.append(node[p[ok]])
             b.append(node[q[ok]])
         a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b))
@@ -451,17 +479,16 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     near = shared.select("node").distinct()
     nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
     nodes = materialise(nodes, "nodes")
-    sets = materialise(_elements(docs, nodes, n, id_col, text_col), "elements")
     edges = None
     labels = None
     for turn in range(HUB_ROUNDS):
         pairs = _hub_pairs(shared, nodes, labels, turn, num, den)
-        new = materialise(_verified(pairs, sets, num, den), "links")
+        new = materialise(_verified(pairs, docs, nodes, n, num, den, id_col, text_col), "links")
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         free_shuffles(spark)
     rest = _rest_pairs(shared, nodes, labels, owners, num, den)
-    more = materialise(_verified(rest, sets, num, den), "links")
+    more = materialise(_verified(rest, docs, nodes, n, num, den, id_col, text_col), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     return each.select("id", "text_hash", "node", "size"), labels
