@@ -474,3 +474,30 @@ def test_pipeline(spark):
     got = P.run(spark, d).collect()
     assert {r.doc_id: r.copies for r in got} == mixed
     assert all(r.text == rows[r.doc_id].text for r in got)
+
+
+def test_sketches_of_two_widths(spark):
+    """A wide sketch folds to the narrow one's width, in numpy and in SQL; the bits that differ
+    are never more than the elements that do."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marquee.llm import partenum
+
+    values = partenum.mix(np.arange(1, 6001, dtype=np.uint64))
+    sets = [values[:k] for k in (0, 1, 900, 1024, 1025, 1100, 2050, 4000)]
+    marks = [partenum.sketch(s) for s in sets]
+    assert [len(m) for m in marks] == [8, 8, 8, 8, 16, 16, 32, 32]
+    start = np.cumsum([0, *map(len, marks)])
+    words = np.concatenate(marks).view(np.uint64)
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = partenum.differing_bits(words, start, p, q)
+    for i, j, n in zip(p, q, got, strict=True):
+        w = min(len(marks[i]), len(marks[j])) * 64
+        parity = [np.bincount((sets[k] % np.uint64(w)).astype(np.int64), minlength=w) & 1 for k in (i, j)]
+        assert n == (parity[0] != parity[1]).sum() <= abs(len(sets[i]) - len(sets[j]))
+    rows = [(int(i), int(j), len(sets[i]), len(sets[j]), marks[i].tolist(), marks[j].tolist(), int(n)) for i, j, n in zip(p, q, got, strict=True)]
+    table = spark.createDataFrame(rows, "i int, j int, size1 long, size2 long, sketch1 array<long>, sketch2 array<long>, n long")
+    lo, hi = F.least("size1", "size2"), F.greatest("size1", "size2")
+    expected = (10 * lo >= 8 * hi) & (F.col("n") * 18 <= (F.col("size1") + F.col("size2")) * 2)
+    assert table.where(partenum._may_link("1", "2", 8, 10) != expected).count() == 0
