@@ -6,12 +6,13 @@ Cartesian tree over the hashes; those of at least the least passage length are k
 2n / length of them in a text of n. Two texts that share a passage have, under every hash
 function, windows around the same element of it, and also the same element REACH before or
 behind it, as the passage is longer than twice REACH. So a window has two keys: its least
-element with the element REACH behind, and with that REACH before.
+element with the element REACH behind, and with that REACH before. Bits of
+the 22 elements on either side go with it.
 
-Equal keys meet, first within a map task, then at the key's owner; each text is joined to one
-other of its key. Where intervals of two texts are joined under any of the hash functions,
-their elements are compared, and the widest intervals around the joined elements that are
-similar enough are the passages.
+Equal keys meet at the key's owner. Each row is compared with the first of its key, if their
+bits allow a passage; then the rows that this does not join to it are compared with all others
+of the key, likewise. The widest intervals around the joined elements that are similar enough
+are the passages.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import materialise
+from marquee.llm.common import free_shuffles, materialise
 from marquee.llm.partenum import GOLD, LOWER, WordHashes, mix
 
 SHINGLE, HASHES, LEAST_WORDS = 5, 5, 50
@@ -32,8 +33,14 @@ SIMILARITY = 0.8
 SEND_BYTES = 48 << 20
 BROADCAST_ROWS = 500_000
 
-ROWS = "owner int, id long, text_hash long, node long, words long, a long, b long, ca int, cb int, packed binary"
-SCHEMA = pa.schema([("owner", pa.int32()), *((c, pa.int64()) for c in ("id", "text_hash", "node", "words", "a", "b")), ("ca", pa.int32()), ("cb", pa.int32()), ("packed", pa.binary())])
+#: Common bits of the elements on one side that rows of a key need to be compared: 22 elements
+#: less those that a least passage can have changed or moved out leave 11, in 64 bits.
+COMMON_BITS = 8
+
+ROWS = "owner int, id long, text_hash long, node long, words long, packed binary"
+SCHEMA = pa.schema([("owner", pa.int32()), *((c, pa.int64()) for c in ("id", "text_hash", "node", "words")), ("packed", pa.binary())])
+LINKS = "a long, b long, ca int, cb int, key long"
+LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int32()), ("cb", pa.int32()), ("key", pa.int64())])
 
 
 def sequence(text: bytes | None, n: int, memo: WordHashes) -> tuple[np.ndarray, int]:
@@ -82,10 +89,23 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a sequence's windows, and the place of each one's least element."""
+def _contexts(s: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the `reach` elements before and behind each place."""
+    bits = np.concatenate((np.zeros(reach, np.uint64), np.uint64(1) << (s >> np.uint64(58)), np.zeros(reach + 1, np.uint64)))
+    runs, n = bits, 1
+    while n < reach:
+        k = min(n, reach - n)
+        runs = runs | np.concatenate((runs[k:], np.zeros(k, np.uint64)))
+        n += k
+    return runs[: len(s)], runs[reach + 1 : reach + 1 + len(s)]
+
+
+def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a sequence's windows, the place of each one's least element, and the bits of
+    what is before and behind it."""
     if len(s) < least:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
+        none = np.empty(0, np.uint64)
+        return none, np.empty(0, np.int32), none, none
     e, reach = occurrences(s), (least - 1) // 2
     keys, places = [], []
     for f in range(hashes):
@@ -95,24 +115,53 @@ def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.
             p = c[(c + shift >= 0) & (c + shift < len(s))]
             keys.append(mix(mix(e[p] + np.uint64(2 * f + k)) ^ e[p + shift]))
             places.append(p)
-    return np.concatenate(keys), np.concatenate(places).astype(np.int32)
+    places = np.concatenate(places)
+    before, behind = _contexts(s, reach)
+    return np.concatenate(keys), places.astype(np.int32), before[places], behind[places]
 
 
-def _links(key, node, place):
-    """Of rows sorted by key: the first of each key, and links of the others to it."""
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    other = (node != node[lead]) & ~new
-    return new, np.stack((node[other], node[lead[other]], place[other], place[lead[other]]), 1)
+def _may_link(before, behind, p, q):
+    """Whether enough of the elements on one side of rows p and q can be equal."""
+    return (np.bitwise_count(before[p] & before[q]) >= COMMON_BITS) | (np.bitwise_count(behind[p] & behind[q]) >= COMMON_BITS)
 
 
-def _link_rows(links: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(links):
-        links = np.unique(links, axis=0)
-    for i in range(0, len(links), 20_000):
-        x = links[i : i + 20_000]
-        null = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int32()), null, null, null, null, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3].astype(np.int32)), pa.nulls(len(x), pa.binary())], schema=SCHEMA)
+def _leads(key):
+    """Of rows sorted by key: where the first of each one's key is."""
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+
+
+def _star(key, node, before, behind):
+    """Which rows are compared with the first of their key."""
+    lead = _leads(key)
+    return lead, (node != node[lead]) & _may_link(before, behind, np.arange(len(key)), lead)
+
+
+def _rest(key, node, before, behind, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a key that may link, but for those with its first row and those of two
+    rows whose links to it hold."""
+    lead = _leads(key)
+    at = np.flatnonzero(lead != np.arange(len(key)))
+    shift = 1
+    while True:
+        at = at[at + shift < len(key)]
+        at = at[key[at] == key[at + shift]]
+        if not len(at):
+            return
+        to = at + shift
+        ok = ~(settled[at] & settled[to]) & (node[at] != node[to])
+        p, q = at[ok], to[ok]
+        ok = _may_link(before, behind, p, q)
+        if ok.any():
+            yield p[ok], q[ok]
+        shift += 1
+
+
+def _link_rows(key, node, place, p, q) -> Iterator[pa.RecordBatch]:
+    """Links of rows p and q."""
+    for i in range(0, len(p), 20_000):
+        x, y = p[i : i + 20_000], q[i : i + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(place[x]), pa.array(place[y]), pa.array(key[x].view(np.int64))], schema=LINK_SCHEMA)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -125,35 +174,31 @@ def _unplanes(b: bytes, at: int, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, w * n, at).reshape(w, n).T).view(dtype).reshape(-1)
 
 
-def _pack(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> bytes:
-    """Rows sorted by key, by byte planes: gaps of keys, numbers of nodes, places."""
+def _pack(key: np.ndarray, node: np.ndarray, place: np.ndarray, before: np.ndarray, behind: np.ndarray) -> bytes:
+    """Rows sorted by key, by byte planes: gaps of keys, numbers of nodes, places, bits."""
     nodes, at = np.unique(node, return_inverse=True)
     gaps = np.diff(key, prepend=np.zeros(1, np.uint64))
-    return struct.pack("<II", len(key), len(nodes)) + nodes.tobytes() + _planes(gaps) + _planes(at.astype(np.uint32)) + _planes(place)
+    return struct.pack("<II", len(key), len(nodes)) + nodes.tobytes() + _planes(gaps) + _planes(at.astype(np.uint32)) + _planes(place) + before.tobytes() + behind.tobytes()
 
 
 def _unpack(b: bytes):
     n, m = struct.unpack_from("<II", b)
     nodes = np.frombuffer(b, np.int64, m, 8)
     at = 8 + 8 * m
-    return np.cumsum(_unplanes(b, at, n, np.uint64), dtype=np.uint64), nodes[_unplanes(b, at + 8 * n, n, np.uint32)], _unplanes(b, at + 12 * n, n, np.int32)
+    key, number, place = _unplanes(b, at, n, np.uint64), _unplanes(b, at + 8 * n, n, np.uint32), _unplanes(b, at + 12 * n, n, np.int32)
+    return np.cumsum(key, dtype=np.uint64), nodes[number], place, np.frombuffer(b, np.uint64, n, at + 16 * n), np.frombuffer(b, np.uint64, n, at + 24 * n)
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, hashes: int, owners: int) -> DataFrame:
     def send(held: list) -> Iterator[pa.RecordBatch]:
-        key, node, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        o = np.argsort(key, kind="stable")
-        key, node, place = key[o], node[o], place[o]
-        first, links = _links(key, node, place)
-        yield from _link_rows(links)
-        key, node, place = key[first], node[first], place[first]
-        owner = (key % np.uint64(owners)).astype(np.int64)
-        o = np.argsort(owner, kind="stable")
-        key, node, place, owner = key[o], node[o], place[o], owner[o]
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        owner = (cols[0] % np.uint64(owners)).astype(np.int64)
+        o = np.lexsort((cols[0], owner))
+        cols, owner = [c[o] for c in cols], owner[o]
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-        one, small = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())
+        one = pa.nulls(1, pa.int64())
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), one, one, one, one, one, one, small, small, pa.array([_pack(key[a:b], node[a:b], place[a:b])], pa.binary())], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), one, one, one, one, pa.array([_pack(*(c[a:b] for c in cols))], pa.binary())], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, held, size = WordHashes(), set(), [], 0
@@ -169,15 +214,14 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
                 if len(seen) > 1_000_000:
                     seen = set()
                 seen.add(node)
-                key, place = window_keys(s, least, hashes)
-                held.append((key, np.full(len(key), node, np.int64), place))
-                size += 20 * len(key)
+                key, place, before, behind = window_keys(s, least, hashes)
+                held.append((key, np.full(len(key), node, np.int64), place, before, behind))
+                size += 36 * len(key)
                 if size > SEND_BYTES:
                     yield from send(held)
                     held, size = [], 0
             m = len(nodes)
-            null, small = pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_arrays([small, b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(words, pa.int64()), null, null, small, small, pa.nulls(m, pa.binary())], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(words, pa.int64()), pa.nulls(m, pa.binary())], schema=SCHEMA)
         if held:
             yield from send(held)
 
@@ -185,21 +229,43 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
     return rows.mapInArrow(run, ROWS)
 
 
-def _owned_links(rows: DataFrame, owners: int) -> DataFrame:
+def _owned_links(rows: DataFrame, owners: int, failed: DataFrame | None = None) -> DataFrame:
+    """Links of the rows of each key with its first row; given those that failed, links of the
+    rows that it does not hold with all others of the key."""
+
+    others = failed is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        lost: dict[int, set] = {}
         for b in batches:
-            for o, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(o, []).append(p.as_py())
-        for parts in held.values():
-            key, node, place = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
-            o = np.lexsort((node, key))
-            _, links = _links(key[o], node[o], place[o])
-            for x in _link_rows(links):
-                yield pa.RecordBatch.from_arrays([x.column(k) for k in range(5, 9)], names=["a", "b", "ca", "cb"])
+            for o, p, key, a, ca in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if p is None:
+                    lost.setdefault(o, set()).add((key, a, ca))
+                else:
+                    held.setdefault(o, []).append(p)
+        for owner, parts in held.items():
+            cols = [np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True)]
+            o = np.lexsort((cols[2], cols[1], cols[0]))
+            key, node, place, before, behind = (c[o] for c in cols)
+            lead, star = _star(key, node, before, behind)
+            if not others:
+                p = np.flatnonzero(star)
+                yield from _link_rows(key, node, place, p, lead[p])
+                continue
+            settled = star.copy()
+            gone = lost.get(owner, ())
+            if gone:
+                p = np.flatnonzero(star)
+                settled[p] = [x not in gone for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)]
+            for p, q in _rest(key, node, before, behind, settled):
+                yield from _link_rows(key, node, place, q, p)
 
-    packed = rows.where(F.col("owner").isNotNull()).select("owner", "packed")
-    return packed.repartition(owners, "owner").mapInArrow(run, "a long, b long, ca int, cb int")
+    none = F.lit(None).cast("long")
+    sent = rows.where(F.col("owner").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"))
+    if others:
+        sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca"))
+    return sent.repartition(owners, "owner").mapInArrow(run, LINKS)
 
 
 def _around(match: np.ndarray, c: int, similarity: float, widest: bool = False) -> tuple[int, int]:
@@ -253,8 +319,9 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
 
     Rows: doc_id, start_word, end_word (exclusive), other_id, other_start, other_end, jaccard
     (of the passages' distinct shingles, at least `similarity`), and kind. kind 'passage'
-    joins representatives of texts: each text is joined to one other text of every key, the
-    least of the key or of its task, so that n texts of a passage give about n rows. kind
+    joins representatives of texts: each text is joined to the first text of every key, or, if
+    they have no passage there, to all of the key with which it has one. So n texts of a
+    passage give about n rows. kind
     'copy' joins a document to the least id of those with the same words. Documents without
     a repeated passage have no row; null and shorter texts have none. Rows that repeat an id
     count as documents; other columns are not read. Words stand between ASCII white space,
@@ -263,10 +330,7 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
     least = words - shingle + 1
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = materialise(_windows(docs, id_col, text_col, shingle, least, hashes, owners), "windows")
-    links = rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb").union(_owned_links(rows, owners))
-    pairs = materialise(links.distinct().groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ca", "cb"))).alias("places")), "passage-links")
     each = rows.where(F.col("node").isNotNull()).select("id", "text_hash", "node", "words")
-    near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     reps = each.where(F.col("words") >= words).groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.max("words").alias("n"))
     reps = materialise(reps, "passage-texts")
 
@@ -278,25 +342,42 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
                 seqs = [(sequence(t.as_py(), shingle, memo)[0] >> np.uint64(32)).astype(np.uint32).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.binary())], names=["node", "elements"])
 
-    want = materialise(reps.join(near, "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash")), "passage-reps")
-    want_ = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(want_, F.col("id").eqNullSafe(F.col("rid")) & (F.xxhash64("text") == F.col("rhash")))
-    seqs = materialise(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sequences, "node long, elements binary"), "passage-sequences")
+    def sequences_of(pairs: DataFrame) -> DataFrame:
+        near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        want = materialise(reps.join(near, "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash")), "passage-reps")
+        want_ = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        texts = texts.join(want_, F.col("id").eqNullSafe(F.col("rid")) & (F.xxhash64("text") == F.col("rhash")))
+        return materialise(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sequences, "node long, elements binary"), "passage-sequences")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             out = []
             for a, b, places, x, y in zip(*(t.column(k) for k in range(5)), strict=True):
-                at = [(p["ca"], p["cb"]) for p in places.as_py()]
-                found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), at, least, similarity)
-                out += [(a.as_py(), b.as_py(), i, j + shingle, k, m + shingle, s) for i, j, k, m, s in found]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["a", "b", "sa", "ea", "sb", "eb", "jaccard"])
-
-    x = seqs.select(F.col("node").alias("a"), F.col("elements").alias("xa")).dropDuplicates(["a"])
-    y = seqs.select(F.col("node").alias("b"), F.col("elements").alias("xb")).dropDuplicates(["b"])
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb").mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double")
+                at = [(p["ca"], p["cb"], p["key"]) for p in places.as_py()]
+                a, b = a.as_py(), b.as_py()
+                found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), [p[:2] for p in at], least, similarity)
+                out += [(a, b, i, j + shingle, k, m + shingle, s, None, None, None) for i, j, k, m, s in found]
+                # What no passage holds has failed: its owner, key and place.
+                out += [(a, b, None, None, None, None, None, (key & (1 << 64) - 1) % owners, key, ca) for ca, cb, key in at if not any(i <= ca <= j and k <= cb <= m for i, j, k, m, _ in found)]
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "sa", "ea", "sb", "eb", "jaccard", "owner", "key", "ca"])
+
+    def verified(links: DataFrame) -> DataFrame:
+        pairs = materialise(links.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ca", "cb", "key"))).alias("places")), "passage-links")
+        free_shuffles(spark)
+        seqs = sequences_of(pairs)
+        x = seqs.select(F.col("node").alias("a"), F.col("elements").alias("xa")).dropDuplicates(["a"])
+        y = seqs.select(F.col("node").alias("b"), F.col("elements").alias("xb")).dropDuplicates(["b"])
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb")
+        done = materialise(both.mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
+        free_shuffles(spark)
+        return done
+
+    stars = verified(_owned_links(rows, owners))
+    rest = verified(_owned_links(rows, owners, stars.where(F.col("owner").isNotNull())))
+    found = stars.union(rest).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
     first = reps.select("node", F.col("rep.id").alias("first"))
     found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("ia")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("ib")), "b")
     out = found.select(F.col("ia").alias(id_col), F.col("sa").alias("start_word"), F.col("ea").alias("end_word"), F.col("ib").alias("other_id"), F.col("sb").alias("other_start"), F.col("eb").alias("other_end"), "jaccard", F.lit("passage").alias("kind"))

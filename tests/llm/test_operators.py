@@ -404,6 +404,20 @@ def test_passages(spark, odd, none):
     assert r and passages.repeated_passages(odd).count() > 0 and passages.repeated_passages(none).count() == 0
 
 
+def pairs_found(spark, rows):
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return {frozenset((x.doc_id, x.other_id)) for x in got}
+
+
+def test_passages_around_a_frequent_line(spark):
+    line = made_up(600, 43)
+    rows = [(i, f"{made_up(i + 2000, 60)} {line} {made_up(i + 2100, 60)}") for i in range(40)]
+    for k in range(20):
+        shared = f"{made_up(k + 2200, 4)} {line} {made_up(k + 2300, 4)}"
+        rows += [(i, f"{made_up(i + 2000, 60)} {shared} {made_up(i + 2100, 60)}") for i in (50 + 2 * k, 51 + 2 * k)]
+    assert pairs_found(spark, rows) == {frozenset((50 + 2 * k, 51 + 2 * k)) for k in range(20)}
+
+
 def test_compact_windows_cover_every_subsequence_once():
     h = np.random.default_rng(2).permutation(40).astype(np.uint64)
     w = passages.compact_windows(h, 1)
