@@ -55,19 +55,6 @@ def sequence(text: bytes | None, n: int, memo: WordHashes) -> tuple[np.ndarray,
     return mix(s), len(words)
 
 
-def occurrences(s: np.ndarray) -> np.ndarray:
-    """Elements told apart by how often the text had them before: no two are equal, so the
-    tree over their hashes is shallow even in texts that repeat themselves."""
-    o = np.argsort(s, kind="stable")
-    t = s[o]
-    new = np.concatenate(([True], t[1:] != t[:-1]))
-    at = np.arange(len(s))
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    out = np.empty_like(s)
-    out[o] = np.where(nth == 0, t, mix(t + nth.astype(np.uint64)))
-    return out
-
-
 def _text_key(s: np.ndarray) -> int:
     """A 63-bit key of a sequence."""
     placed = mix(s + mix(np.arange(len(s), dtype=np.uint64)))
@@ -76,16 +63,20 @@ def _text_key(s: np.ndarray) -> int:
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of all windows of `least` elements or more; r is the last element."""
+    """(l, c, r) of all windows of `least` elements or more; r is the last element. Of equal
+    least elements the first counts, so that equal passages have it at the same place."""
     out, todo = [], [(0, len(h))]
     while todo:
         a, b = todo.pop()
         if b - a < least:
             continue
-        c = a + int(h[a:b].argmin())
-        out.append((a, c, b - 1))
-        todo.append((a, c))
-        todo.append((c + 1, b))
+        part = h[a:b]
+        for c in (a + np.flatnonzero(part == part.min())).tolist():
+            if b - a >= least:
+                out.append((a, c, b - 1))
+            todo.append((a, c))
+            a = c + 1
+        todo.append((a, b))
     return out
 
 
@@ -106,7 +97,7 @@ def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.
     if len(s) < least:
         none = np.empty(0, np.uint64)
         return none, np.empty(0, np.int32), none, none
-    e, reach = occurrences(s), (least - 1) // 2
+    e, reach = s, (least - 1) // 2
     keys, places = [], []
     for f in range(hashes):
         seed = np.array([f + 1], np.uint64) * GOLD

@@ -418,6 +418,14 @@ def test_passages_around_a_frequent_line(spark):
     assert pairs_found(spark, rows) == {frozenset((50 + 2 * k, 51 + 2 * k)) for k in range(20)}
 
 
+def test_passages_whose_part_came_before(spark):
+    rows = []
+    for k in range(10):
+        part, rest = made_up(k + 1000, 30), made_up(k + 1100, 20)
+        rows += [(2 * k, f"{part} {made_up(k + 1200, 40)} {part} {rest}"), (2 * k + 1, f"{part} {rest}")]
+    assert pairs_found(spark, rows) == {frozenset((2 * k, 2 * k + 1)) for k in range(10)}
+
+
 def test_compact_windows_cover_every_subsequence_once():
     h = np.random.default_rng(2).permutation(40).astype(np.uint64)
     w = passages.compact_windows(h, 1)
