@@ -3,11 +3,9 @@
 Under a hash function, all subsequences of a text with the same least element form a compact
 window (l, c, r): they contain c and stay within l and r. The windows are the nodes of the
 Cartesian tree over the hashes; those of at least the least passage length are kept, about
-2n / length of them in a text of n. Two texts that share a passage have, under every hash
-function, windows around the same element of it, and also the same element REACH before or
-behind it, as the passage is longer than twice REACH. So a window has two keys: its least
-element with the element REACH behind, and with that REACH before. Bits of
-the 22 elements on either side go with it.
+2n / length of them in a text of n. A window's key is its least element: equal passages have
+the same under every hash function, near ones under most, wherever words were put in or left
+out. With it go bits of the 22 elements on either side.
 
 Equal keys meet at the key's owner. Each row is compared with the first of its key, if their
 bits allow a passage; then the rows that this does not join to it are compared with all others
@@ -92,23 +90,25 @@ def _contexts(s: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a sequence's windows, the place of each one's least element, and the bits of
-    what is before and behind it."""
+    """The least elements of a sequence's windows, their places, and the bits of what is
+    before and behind. Of places of one element that agree in all that a least passage around
+    them can hold, the first stands for the others."""
     if len(s) < least:
         none = np.empty(0, np.uint64)
         return none, np.empty(0, np.int32), none, none
-    e, reach = s, (least - 1) // 2
-    keys, places = [], []
-    for f in range(hashes):
-        seed = np.array([f + 1], np.uint64) * GOLD
-        c = np.array([w[1] for w in compact_windows(mix(e ^ seed), least)])
-        for k, shift in enumerate((reach, -reach)):
-            p = c[(c + shift >= 0) & (c + shift < len(s))]
-            keys.append(mix(mix(e[p] + np.uint64(2 * f + k)) ^ e[p + shift]))
-            places.append(p)
-    places = np.concatenate(places)
-    before, behind = _contexts(s, reach)
-    return np.concatenate(keys), places.astype(np.int32), before[places], behind[places]
+    places = np.unique(np.concatenate([[w[1] for w in compact_windows(mix(s ^ (np.array([f + 1], np.uint64) * GOLD)), least)] for f in range(hashes)]).astype(np.int64))
+    key = s[places]
+    _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    if (count > 1).any():
+        had, keep = set(), np.ones(len(places), bool)
+        for i in np.flatnonzero(count[at] > 1):
+            p = int(places[i])
+            around = (s[max(0, p - least) : p].tobytes(), s[p : p + least + 1].tobytes())
+            keep[i] = around not in had
+            had.add(around)
+        places = places[keep]
+    before, behind = _contexts(s, (least - 1) // 2)
+    return s[places], places.astype(np.int32), before[places], behind[places]
 
 
 def _may_link(before, behind, p, q):

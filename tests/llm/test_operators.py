@@ -426,6 +426,15 @@ def test_passages_whose_part_came_before(spark):
     assert pairs_found(spark, rows) == {frozenset((2 * k, 2 * k + 1)) for k in range(10)}
 
 
+def test_passages_with_a_word_put_in_or_left_out(spark):
+    rows = []
+    for k in range(20):
+        shared = made_up(k + 1300, 51 + k % 2).split()
+        changed = [*shared[:25], "new", *shared[25:]] if k % 2 else shared[:25] + shared[26:]
+        rows += [(2 * k, f"{made_up(k + 1400, 60)} {' '.join(shared)} {made_up(k + 1500, 60)}"), (2 * k + 1, f"{made_up(k + 1600, 60)} {' '.join(changed)} {made_up(k + 1700, 60)}")]
+    assert pairs_found(spark, rows) == {frozenset((2 * k, 2 * k + 1)) for k in range(20)}
+
+
 def test_compact_windows_cover_every_subsequence_once():
     h = np.random.default_rng(2).permutation(40).astype(np.uint64)
     w = passages.compact_windows(h, 1)
