@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_shuffles, materialise
+from marquee.llm.common import drop_path, free_shuffles, materialise
 from marquee.llm.partenum import GOLD, LOWER, WordHashes, mix
 
 SHINGLE, HASHES, LEAST_WORDS = 5, 5, 50
@@ -31,14 +32,18 @@ SIMILARITY = 0.8
 SEND_BYTES = 48 << 20
 BROADCAST_ROWS = 500_000
 
-#: Common bits of the elements on one side that rows of a key need to be compared: 22 elements
-#: less those that a least passage can have changed or moved out leave 11, in 64 bits.
-COMMON_BITS = 8
+#: Common bits of the 22 elements on one side that rows of a key need to be compared, by either
+#: hash. A least passage has one edit of a word or two, which leaves 16 of them.
+COMMON_BITS = 9
+#: Rows of a key that are compared by blocks of so many pairs.
+LARGE, BLOCK_PAIRS = 64, 500_000
 
-ROWS = "owner int, id long, text_hash long, node long, words long, packed binary"
 SCHEMA = pa.schema([("owner", pa.int32()), *((c, pa.int64()) for c in ("id", "text_hash", "node", "words")), ("packed", pa.binary())])
-LINKS = "a long, b long, ca int, cb int, key long"
+ROWS = "owner int, id long, text_hash long, node long, words long, packed binary"
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int32()), ("cb", pa.int32()), ("key", pa.int64())])
+LINKS = "a long, b long, ca int, cb int, key long"
+OWNED_SCHEMA = pa.schema([*SCHEMA, *LINK_SCHEMA])
+OWNED = f"{ROWS}, {LINKS}"
 
 
 def sequence(text: bytes | None, n: int, memo: WordHashes) -> tuple[np.ndarray, int]:
@@ -78,25 +83,38 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _contexts(s: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the `reach` elements before and behind each place."""
-    bits = np.concatenate((np.zeros(reach, np.uint64), np.uint64(1) << (s >> np.uint64(58)), np.zeros(reach + 1, np.uint64)))
-    runs, n = bits, 1
-    while n < reach:
-        k = min(n, reach - n)
-        runs = runs | np.concatenate((runs[k:], np.zeros(k, np.uint64)))
+def least_places(h: np.ndarray, least: int) -> np.ndarray:
+    """The places c of compact_windows(), by running minima; hashes count by 32 bits."""
+    v, n = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
+    while n < least:
+        k = min(n, least - n)
+        v = np.minimum(v[:-k], v[k:])
         n += k
-    return runs[: len(s)], runs[reach + 1 : reach + 1 + len(s)]
+    c = v & np.uint64(0xFFFFFFFF)
+    return c[np.concatenate(([True], c[1:] != c[:-1]))].astype(np.int64)
+
+
+def _contexts(s: np.ndarray, reach: int) -> np.ndarray:
+    """Bits of the `reach` elements before and behind each place, by two hashes."""
+    out = np.empty((len(s), 4), np.uint64)
+    for k, shift in enumerate((58, 52)):
+        bits = np.uint64(1) << (s >> np.uint64(shift) & np.uint64(63))
+        runs, n = np.concatenate((np.zeros(reach, np.uint64), bits, np.zeros(reach + 1, np.uint64))), 1
+        while n < reach:
+            m = min(n, reach - n)
+            runs = runs | np.concatenate((runs[m:], np.zeros(m, np.uint64)))
+            n += m
+        out[:, 2 * k], out[:, 2 * k + 1] = runs[: len(s)], runs[reach + 1 : reach + 1 + len(s)]
+    return out
 
 
-def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The least elements of a sequence's windows, their places, and the bits of what is
     before and behind. Of places of one element that agree in all that a least passage around
     them can hold, the first stands for the others."""
     if len(s) < least:
-        none = np.empty(0, np.uint64)
-        return none, np.empty(0, np.int32), none, none
-    places = np.unique(np.concatenate([[w[1] for w in compact_windows(mix(s ^ (np.array([f + 1], np.uint64) * GOLD)), least)] for f in range(hashes)]).astype(np.int64))
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty((0, 4), np.uint64)
+    places = np.unique(np.concatenate([least_places(mix(s ^ (np.array([f + 1], np.uint64) * GOLD)), least) for f in range(hashes)]))
     key = s[places]
     _, at, count = np.unique(key, return_inverse=True, return_counts=True)
     if (count > 1).any():
@@ -107,13 +125,13 @@ def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.
             keep[i] = around not in had
             had.add(around)
         places = places[keep]
-    before, behind = _contexts(s, (least - 1) // 2)
-    return s[places], places.astype(np.int32), before[places], behind[places]
+    return s[places], places.astype(np.int32), _contexts(s, (least - 1) // 2)[places]
 
 
-def _may_link(before, behind, p, q):
+def _may_link(bits, p, q):
     """Whether enough of the elements on one side of rows p and q can be equal."""
-    return (np.bitwise_count(before[p] & before[q]) >= COMMON_BITS) | (np.bitwise_count(behind[p] & behind[q]) >= COMMON_BITS)
+    same = np.bitwise_count(bits[p] & bits[q]) >= COMMON_BITS
+    return (same[:, 0] & same[:, 2]) | (same[:, 1] & same[:, 3])
 
 
 def _leads(key):
@@ -122,30 +140,39 @@ def _leads(key):
     return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
-def _star(key, node, before, behind):
+def _star(key, node, bits):
     """Which rows are compared with the first of their key."""
     lead = _leads(key)
-    return lead, (node != node[lead]) & _may_link(before, behind, np.arange(len(key)), lead)
+    return lead, (node != node[lead]) & _may_link(bits, np.arange(len(key)), lead)
 
 
-def _rest(key, node, before, behind, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _rest(key, node, bits, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a key that may link, but for those with its first row and those of two
-    rows whose links to it hold."""
+    rows whose links to it hold. Large groups go by blocks, the others all at once."""
     lead = _leads(key)
-    at = np.flatnonzero(lead != np.arange(len(key)))
-    shift = 1
-    while True:
+    size = np.bincount(lead, minlength=len(key))
+    before, behind = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+
+    def fit(p, q):
+        ok = ~(settled[p] & settled[q]) & (node[p] != node[q])
+        p, q = p[ok], q[ok]
+        ok = _may_link(bits, p, q)
+        return p[ok], q[ok]
+
+    for a in np.flatnonzero(size > LARGE):
+        end, i = a + size[a], a + 1
+        while i < end:
+            j = min(end, i + max(1, BLOCK_PAIRS // (end - i)))
+            p, q = np.nonzero((np.bitwise_count(before[i:j, None] & before[None, i:end]) >= COMMON_BITS) | (np.bitwise_count(behind[i:j, None] & behind[None, i:end]) >= COMMON_BITS))
+            yield fit(i + p[p < q], i + q[p < q])
+            i = j
+    at = np.flatnonzero((lead != np.arange(len(key))) & (size[lead] <= LARGE))
+    for shift in range(1, LARGE):
         at = at[at + shift < len(key)]
         at = at[key[at] == key[at + shift]]
         if not len(at):
             return
-        to = at + shift
-        ok = ~(settled[at] & settled[to]) & (node[at] != node[to])
-        p, q = at[ok], to[ok]
-        ok = _may_link(before, behind, p, q)
-        if ok.any():
-            yield p[ok], q[ok]
-        shift += 1
+        yield fit(at, at + shift)
 
 
 def _link_rows(key, node, place, p, q) -> Iterator[pa.RecordBatch]:
@@ -165,11 +192,11 @@ def _unplanes(b: bytes, at: int, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, w * n, at).reshape(w, n).T).view(dtype).reshape(-1)
 
 
-def _pack(key: np.ndarray, node: np.ndarray, place: np.ndarray, before: np.ndarray, behind: np.ndarray) -> bytes:
+def _pack(key: np.ndarray, node: np.ndarray, place: np.ndarray, bits: np.ndarray) -> bytes:
     """Rows sorted by key, by byte planes: gaps of keys, numbers of nodes, places, bits."""
     nodes, at = np.unique(node, return_inverse=True)
     gaps = np.diff(key, prepend=np.zeros(1, np.uint64))
-    return struct.pack("<II", len(key), len(nodes)) + nodes.tobytes() + _planes(gaps) + _planes(at.astype(np.uint32)) + _planes(place) + before.tobytes() + behind.tobytes()
+    return struct.pack("<II", len(key), len(nodes)) + nodes.tobytes() + _planes(gaps) + _planes(at.astype(np.uint32)) + _planes(place) + bits.tobytes()
 
 
 def _unpack(b: bytes):
@@ -177,7 +204,7 @@ def _unpack(b: bytes):
     nodes = np.frombuffer(b, np.int64, m, 8)
     at = 8 + 8 * m
     key, number, place = _unplanes(b, at, n, np.uint64), _unplanes(b, at + 8 * n, n, np.uint32), _unplanes(b, at + 12 * n, n, np.int32)
-    return np.cumsum(key, dtype=np.uint64), nodes[number], place, np.frombuffer(b, np.uint64, n, at + 16 * n), np.frombuffer(b, np.uint64, n, at + 24 * n)
+    return np.cumsum(key, dtype=np.uint64), nodes[number], place, np.frombuffer(b, np.uint64, 4 * n, at + 16 * n).reshape(n, 4)
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, hashes: int, owners: int) -> DataFrame:
@@ -192,7 +219,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
             yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int32()), one, one, one, one, pa.array([_pack(*(c[a:b] for c in cols))], pa.binary())], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, held, size = WordHashes(), set(), [], 0
+        memo, seen, held, size, done = WordHashes(), set(), [], 0, 0
         for b in batches:
             nodes, words = [], []
             for t in b.column(1):
@@ -205,14 +232,16 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
                 if len(seen) > 1_000_000:
                     seen = set()
                 seen.add(node)
-                key, place, before, behind = window_keys(s, least, hashes)
-                held.append((key, np.full(len(key), node, np.int64), place, before, behind))
-                size += 36 * len(key)
+                key, place, bits = window_keys(s, least, hashes)
+                held.append((key, np.full(len(key), node, np.int64), place, bits))
+                size += 52 * len(key)
                 if size > SEND_BYTES:
                     yield from send(held)
                     held, size = [], 0
             m = len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(words, pa.int64()), pa.nulls(m, pa.binary())], schema=SCHEMA)
+            turn = (done + np.arange(m)) % owners
+            done += m
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(words, pa.int64()), pa.nulls(m, pa.binary())], schema=SCHEMA)
         if held:
             yield from send(held)
 
@@ -220,11 +249,49 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
     return rows.mapInArrow(run, ROWS)
 
 
-def _owned_links(rows: DataFrame, owners: int, failed: DataFrame | None = None) -> DataFrame:
-    """Links of the rows of each key with its first row; given those that failed, links of the
-    rows that it does not hold with all others of the key."""
+def _grouped(parts: list) -> tuple:
+    """Rows of one owner, sorted by key, node and place; keys of a single row are left out."""
+    cols = [np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True)]
+    o = np.lexsort((cols[2], cols[1], cols[0]))
+    key = cols[0][o]
+    same = key[1:] == key[:-1]
+    o = o[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    return tuple(c[o] for c in cols)
+
+
+def _owned(rows: DataFrame, owners: int) -> DataFrame:
+    """Rows of texts as they are; the packed rows of each owner; and links of the rows of each
+    key with its first row."""
+
+    def wide(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(f.name) if f.name in b.schema.names else pa.nulls(len(b), f.type) for f in OWNED_SCHEMA], schema=OWNED_SCHEMA)
 
-    others = failed is not None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            text = b.column(5).is_null()
+            yield wide(b.filter(text))
+            b = b.filter(pc.invert(text))
+            for o, p in zip(b.column(0).to_pylist(), b.column(5), strict=True):
+                held.setdefault(o, []).append(p.as_py())
+        while held:
+            owner, parts = held.popitem()
+            key, node, place, bits = _grouped(parts)
+            if not len(key):
+                continue
+            one = pa.nulls(1, pa.int64())
+            yield wide(pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), one, one, one, one, pa.array([_pack(key, node, place, bits)], pa.binary())], schema=SCHEMA))
+            lead, star = _star(key, node, bits)
+            p = np.flatnonzero(star)
+            for x in _link_rows(key, node, place, p, lead[p]):
+                yield wide(x)
+
+    return rows.repartition(owners, "owner").mapInArrow(run, OWNED)
+
+
+def _other_links(rows: DataFrame, failed: DataFrame, owners: int) -> DataFrame:
+    """Links of the rows that the first row of their key does not hold with all others of the
+    key. failed: the owner, key, node and place of those whose link to it failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -236,26 +303,18 @@ def _owned_links(rows: DataFrame, owners: int, failed: DataFrame | None = None)
                 else:
                     held.setdefault(o, []).append(p)
         for owner, parts in held.items():
-            cols = [np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True)]
-            o = np.lexsort((cols[2], cols[1], cols[0]))
-            key, node, place, before, behind = (c[o] for c in cols)
-            lead, star = _star(key, node, before, behind)
-            if not others:
-                p = np.flatnonzero(star)
-                yield from _link_rows(key, node, place, p, lead[p])
-                continue
-            settled = star.copy()
+            key, node, place, bits = _grouped(parts)
+            _, settled = _star(key, node, bits)
             gone = lost.get(owner, ())
             if gone:
-                p = np.flatnonzero(star)
+                p = np.flatnonzero(settled)
                 settled[p] = [x not in gone for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)]
-            for p, q in _rest(key, node, before, behind, settled):
+            for p, q in _rest(key, node, bits, settled):
                 yield from _link_rows(key, node, place, q, p)
 
     none = F.lit(None).cast("long")
-    sent = rows.where(F.col("owner").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"))
-    if others:
-        sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca"))
+    sent = rows.where(F.col("packed").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"))
+    sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca"))
     return sent.repartition(owners, "owner").mapInArrow(run, LINKS)
 
 
@@ -320,7 +379,8 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
     spark = docs.sparkSession
     least = words - shingle + 1
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = materialise(_windows(docs, id_col, text_col, shingle, least, hashes, owners), "windows")
+    rows = materialise(_owned(_windows(docs, id_col, text_col, shingle, least, hashes, owners), owners), "windows")
+    free_shuffles(spark)
     each = rows.where(F.col("node").isNotNull()).select("id", "text_hash", "node", "words")
     reps = each.where(F.col("words") >= words).groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.max("words").alias("n"))
     reps = materialise(reps, "passage-texts")
@@ -363,11 +423,13 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         y = seqs.select(F.col("node").alias("b"), F.col("elements").alias("xb")).dropDuplicates(["b"])
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb")
         done = materialise(both.mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
+        drop_path(spark, pairs.scratch)
+        drop_path(spark, seqs.scratch)
         free_shuffles(spark)
         return done
 
-    stars = verified(_owned_links(rows, owners))
-    rest = verified(_owned_links(rows, owners, stars.where(F.col("owner").isNotNull())))
+    stars = verified(rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb", "key"))
+    rest = verified(_other_links(rows, stars.where(F.col("owner").isNotNull()), owners))
     found = stars.union(rest).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
     first = reps.select("node", F.col("rep.id").alias("first"))
     found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("ia")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("ib")), "b")

@@ -444,6 +444,12 @@ def test_compact_windows_cover_every_subsequence_once():
             assert len(own) == 1 and own[0][1] == i + int(h[i : j + 1].argmin())
 
 
+def test_least_places_are_those_of_compact_windows():
+    h = partenum.mix(np.random.default_rng(3).integers(0, 60, 500).astype(np.uint64))
+    for least in (1, 7, 46):
+        assert passages.least_places(h, least).tolist() == sorted(c for _, c, _ in passages.compact_windows(h, least))
+
+
 # 10
 
 
