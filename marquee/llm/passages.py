@@ -33,8 +33,9 @@ SEND_BYTES = 48 << 20
 BROADCAST_ROWS = 500_000
 
 #: Common bits of the 22 elements on one side that rows of a key need to be compared, by either
-#: hash. A least passage has one edit of a word or two, which leaves 16 of them.
-COMMON_BITS = 9
+#: hash, with its first row and with the others. A least passage has one edit of a word or two,
+#: which leaves 16 of them.
+COMMON_BITS, REST_BITS = 9, 11
 #: Rows of a key that are compared by blocks of so many pairs.
 LARGE, BLOCK_PAIRS = 64, 500_000
 
@@ -128,9 +129,9 @@ def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.
     return s[places], places.astype(np.int32), _contexts(s, (least - 1) // 2)[places]
 
 
-def _may_link(bits, p, q):
+def _may_link(bits, p, q, least):
     """Whether enough of the elements on one side of rows p and q can be equal."""
-    same = np.bitwise_count(bits[p] & bits[q]) >= COMMON_BITS
+    same = np.bitwise_count(bits[p] & bits[q]) >= least
     return (same[:, 0] & same[:, 2]) | (same[:, 1] & same[:, 3])
 
 
@@ -143,7 +144,7 @@ def _leads(key):
 def _star(key, node, bits):
     """Which rows are compared with the first of their key."""
     lead = _leads(key)
-    return lead, (node != node[lead]) & _may_link(bits, np.arange(len(key)), lead)
+    return lead, (node != node[lead]) & _may_link(bits, np.arange(len(key)), lead, COMMON_BITS)
 
 
 def _rest(key, node, bits, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,14 +157,14 @@ def _rest(key, node, bits, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     def fit(p, q):
         ok = ~(settled[p] & settled[q]) & (node[p] != node[q])
         p, q = p[ok], q[ok]
-        ok = _may_link(bits, p, q)
+        ok = _may_link(bits, p, q, REST_BITS)
         return p[ok], q[ok]
 
     for a in np.flatnonzero(size > LARGE):
         end, i = a + size[a], a + 1
         while i < end:
             j = min(end, i + max(1, BLOCK_PAIRS // (end - i)))
-            p, q = np.nonzero((np.bitwise_count(before[i:j, None] & before[None, i:end]) >= COMMON_BITS) | (np.bitwise_count(behind[i:j, None] & behind[None, i:end]) >= COMMON_BITS))
+            p, q = np.nonzero((np.bitwise_count(before[i:j, None] & before[None, i:end]) >= REST_BITS) | (np.bitwise_count(behind[i:j, None] & behind[None, i:end]) >= REST_BITS))
             yield fit(i + p[p < q], i + q[p < q])
             i = j
     at = np.flatnonzero((lead != np.arange(len(key))) & (size[lead] <= LARGE))
@@ -346,11 +347,16 @@ def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similari
     for cx, cy in places:
         if any(i <= cx <= j and k <= cy <= m for i, j, k, m, _ in out):
             continue
-        # The heaviest interval, else the widest, else the run of equal elements.
-        tries = []
-        for widest in (False, True):
-            i, j = _around(in_x, cx, similarity, widest)
-            tries.append((i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity, widest)))
+        # The heaviest interval, else the widest, else the run of equal elements. The widest
+        # holds the others: where it is too short, so are they.
+        i, j = _around(in_x, cx, similarity, True)
+        if j - i + 1 < least:
+            continue
+        wide = (i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity, True))
+        if wide[3] - wide[2] + 1 < least:
+            continue
+        i, j = _around(in_x, cx, similarity)
+        tries = [(i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity)), wide]
         back = _run(x[: cx + 1][::-1], y[: cy + 1][::-1])
         ahead = _run(x[cx:], y[cy:])
         for i, j, k, m in (*tries, (cx - back + 1, cx + ahead - 1, cy - back + 1, cy + ahead - 1)):
@@ -421,8 +427,14 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         seqs = sequences_of(pairs)
         x = seqs.select(F.col("node").alias("a"), F.col("elements").alias("xa")).dropDuplicates(["a"])
         y = seqs.select(F.col("node").alias("b"), F.col("elements").alias("xb")).dropDuplicates(["b"])
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb")
-        done = materialise(both.mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
+        # A pair brings its texts along: in turns of two pairs a text, for the disk.
+        turns, done = max(1, -(-pairs.count() // max(1, 2 * seqs.count()))), None
+        for turn in range(turns):
+            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
+            both = some.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb")
+            part = materialise(both.mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
+            done = part if done is None else done.union(part)
+            free_shuffles(spark)
         drop_path(spark, pairs.scratch)
         drop_path(spark, seqs.scratch)
         free_shuffles(spark)
