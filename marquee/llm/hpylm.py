@@ -11,8 +11,8 @@ averaged.
 Contexts belong to owners by hash. Map tasks count pairs and note which documents have them,
 and send packed arrays, one row for each owner. An owner keeps its contexts as one row of a
 table that is bucketed by owner, so that the answers of the parent restaurant, bucketed alike,
-meet it without moving it. Only scalars reach the driver. A pair's customers sit in sections of
-at most SECTION; tables are not shared between sections, so that work goes on in parallel.
+meet it without moving it. Only scalars reach the driver. One customer of every SECTION of a
+pair moves at a time, so that work goes on in parallel; the pair's tables are shared.
 """
 
 from __future__ import annotations
@@ -184,17 +184,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Restaurants:
     """Seating of many dishes at once. sizes: customers by dish; room: the restaurant of each
-    dish. Every step moves one customer of each dish."""
+    dish. Every step moves one customer of each section of each dish, by the counts of the
+    whole dish without them; all sections of a dish share its tables. dish, off, n and nt are
+    those of dishes with several customers."""
 
     def __init__(self, sizes: np.ndarray, room: np.ndarray, rooms: int, discount: float, strength: float, rng):
         self.d, self.theta, self.rng, self.room = discount, strength, rng, room
         self.tables = (sizes > 0).astype(np.int64)
-        sections = np.where(sizes > 1, -(-sizes // SECTION), 0)
-        dish = np.repeat(np.arange(len(sizes)), sections)
-        nth = np.arange(len(dish)) - np.repeat(np.cumsum(sections) - sections, sections)
-        n = np.minimum(sizes[dish] - nth * SECTION, SECTION)
-        order = np.argsort(-n, kind="stable")
-        self.dish, self.n = dish[order], n[order]
+        self.dish = np.flatnonzero(sizes > 1)
+        self.n = sizes[self.dish].astype(np.int64)
         self.off = np.cumsum(self.n) - self.n
         total = int(self.n.sum())
         self.z = np.zeros(total, np.int32)
@@ -202,43 +200,58 @@ class Restaurants:
         self.size[self.off] = self.n
         self.free = (np.arange(total) - np.repeat(self.off, self.n)).astype(np.int32)
         self.nt = np.ones(len(self.n), np.int64)
-        self.tables += np.bincount(self.dish, minlength=len(sizes)) - ((sizes > 1) & (sections > 0))
+        sections = -(-self.n // SECTION)
+        of = np.repeat(np.arange(len(self.n)), sections)
+        start = (np.arange(len(of)) - np.repeat(np.cumsum(sections) - sections, sections)) * SECTION
+        length = np.minimum(self.n[of] - start, SECTION)
+        order = np.argsort(-length, kind="stable")
+        self.of, self.start, self.length = of[order], start[order], length[order]
         self.total = np.bincount(room, self.tables, rooms)
 
     def sweep(self, parent: np.ndarray) -> None:
         """Every customer sits down anew; parent: the parent's probability by dish."""
         d, theta, rng = self.d, self.theta, self.rng
         room, p = self.room[self.dish], parent[self.dish]
-        before = self.nt.copy()
-        for i in range(int(self.n[0]) if len(self.n) else 0):
-            m = int(np.searchsorted(-self.n, -i, "left"))
-            o, n, r = self.off[:m], self.n[:m], room[:m]
-            k = self.z[o + i]
-            self.size[o + k] -= 1
-            gone = self.size[o + k] == 0
-            self.nt[:m] -= gone
-            g = np.flatnonzero(gone)
-            self.free[o[g] + self.nt[g]] = k[g]
-            np.subtract.at(self.total, r[g], 1)
-            fresh = (theta + d * self.total[r]) * p[:m]
-            old = n - 1 - d * self.nt[:m]
-            new = rng.random(m) * (fresh + old) < fresh
+        for i in range(int(self.length[0]) if len(self.length) else 0):
+            of = self.of[: int(np.searchsorted(-self.length, -i, "left"))]
+            o, n, r = self.off[of], self.n[of], room[of]
+            at = o + self.start[: len(of)] + i
+            k = self.z[at]
+            np.subtract.at(self.size, o + k, 1)
+            self.z[at] = -1
+            g = np.flatnonzero(self.size[o + k] == 0)
+            slot, first = np.unique((o + k)[g], return_index=True)
+            g = of[g[first]]
+            np.subtract.at(self.nt, g, 1)
+            np.subtract.at(self.total, room[g], 1)
+            self.free[self.off[g] + self.nt[g] + _rank(g)] = slot - self.off[g]
+            moved = np.bincount(of, minlength=len(self.n))[of]
+            fresh = (theta + d * self.total[r]) * p[of]
+            old = n - moved - d * self.nt[of]
+            new = rng.random(len(of)) * (fresh + old) < fresh
             todo = np.flatnonzero(~new)
             while len(todo):
-                j = (rng.random(len(todo)) * (n[todo] - 1)).astype(np.int64)
-                j += j >= i
-                t = self.z[o[todo] + j]
+                t = self.z[o[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)]
                 s = self.size[o[todo] + t]
-                ok = rng.random(len(todo)) * s < s - d
+                ok = (t >= 0) & (rng.random(len(todo)) * s < s - d)
                 k[todo[ok]] = t[ok]
                 todo = todo[~ok]
             g = np.flatnonzero(new)
-            k[g] = self.free[o[g] + self.nt[g]]
-            self.nt[g] += 1
-            np.add.at(self.total, r[g], 1)
-            self.z[o + i] = k
-            self.size[o + k] += 1
-        np.add.at(self.tables, self.dish, self.nt - before)
+            g = g[np.argsort(of[g], kind="stable")]
+            x = of[g]
+            k[g] = self.free[o[g] + self.nt[x] + _rank(x)]
+            np.add.at(self.nt, x, 1)
+            np.add.at(self.total, room[x], 1)
+            self.z[at] = k
+            np.add.at(self.size, o + k, 1)
+        self.tables[self.dish] = self.nt
+
+
+def _rank(x: np.ndarray) -> np.ndarray:
+    """Of sorted numbers: how many equal ones stand before each."""
+    new = np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))
+    at = np.arange(len(x))
+    return at - np.maximum.accumulate(np.where(new, at, 0)) if len(x) else at
 
 
 class _Owner:

@@ -133,6 +133,22 @@ def test_seating_keeps_its_books():
             assert (np.bincount(r.z[o : o + n], minlength=n) == used).all()
 
 
+def test_sections_do_not_make_tables(monkeypatch):
+    def tables(section):
+        monkeypatch.setattr(hpylm, "SECTION", section)
+        r = hpylm.Restaurants(np.array([3000, 3000, 40]), np.array([0, 0, 0]), 1, 0.8, 1.0, np.random.default_rng(5))
+        r.total = r.total + 100_000
+        out = []
+        for k in range(12):
+            r.sweep(np.array([0.001, 0.0005, 0.001]))
+            if k >= 6:
+                out.append(r.tables.copy())
+        return np.mean(out, 0)
+
+    whole = tables(1 << 20)
+    assert np.allclose(tables(128)[:2], whole[:2], rtol=0.15)
+
+
 # 3
 
 
