@@ -373,13 +373,13 @@ def _first_user(v: Domain) -> int:
 
 query("rec_5_svd_predict")(lambda v: _both(v, _svd, lambda m, t: m.predict(t)))
 query("rec_6_svd_evaluate")(lambda v: _both(v, _svd, lambda m, t: m.evaluate(t)))
-query("rec_7_svd_recommend")(lambda v: _both(v, _svd, lambda m, t: m.recommend_all(m.users.orderBy("u").limit(3).select("u"), v.items, 10)))
+query("rec_7_svd_recommend")(lambda v: _both(v, _svd, lambda m, t: m.recommend_all(m.users.select("u"), v.items, 10)))
 query("rec_9_mf_predict")(lambda v: _both(v, _mf, lambda m, t: m.predict(t)))
 query("rec_10_mf_evaluate")(lambda v: _both(v, _mf, lambda m, t: m.evaluate(t)))
 query("rec_11_mf_recommend")(lambda v: _both(v, _mf, lambda m, t: m.recommend(m.users.agg(F.min("u")).first()[0], v.items)))
 query("xp_1_mf_decomposition")(lambda v: _both(v, _mf, lambda m, t: m.decomposition(t.select("userID", "movieID"))))
-query("xp_2_waterfall")(lambda v: _both(v, _mf, lambda m, t: m.waterfall(t.select("userID", "movieID").distinct().orderBy("userID", "movieID").limit(5))))
-query("xp_3_top_factors")(lambda v: _both(v, _mf, lambda m, t: m.top_factors(t.select("userID", "movieID").distinct().orderBy("userID", "movieID").limit(5), 3)))
+query("xp_2_waterfall")(lambda v: _both(v, _mf, lambda m, t: m.waterfall(t.select("userID", "movieID").distinct())))
+query("xp_3_top_factors")(lambda v: _both(v, _mf, lambda m, t: m.top_factors(t.select("userID", "movieID").distinct(), 3)))
 
 
 def _because(m: M.MatrixFactorization, t: DataFrame) -> DataFrame:
