@@ -25,8 +25,8 @@ from marquee.llm.common import drop_path, free_shuffles, materialise
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MEMO_WORDS = 300_000
-#: The least width of a sketch. It grows with the set, a bit for two elements at least: a
-#: sketch much smaller than that is as good as random, and parts no two long texts.
+#: The least width of a sketch. It grows with the set, four bits for an element at least: at a
+#: similarity of 0.8 it then lets pass few pairs below 0.79.
 SKETCH_BITS = 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,10 +77,12 @@ def set_arrays(texts, n: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]
 
 class PartEnum:
     """Signatures for a similarity of num / den. Parts are as many as k allows; k2 and n2
-    say how many cells a part has, and how many of them may differ."""
+    say how many cells a part has, and how many of them may differ. cut: which of many cuts of
+    the domain into cells; linked sets share a signature under every one."""
 
-    def __init__(self, num: int, den: int, n2: int = 3, k2: int = 1):
+    def __init__(self, num: int, den: int, n2: int = 3, k2: int = 1, cut: int = 0):
         self.num, self.den, self.n2, self.k2 = num, den, n2, k2
+        self.salt = mix(np.array([cut], np.uint64) * GOLD) ^ np.uint64(0xD6E8FEB86659FD93)
         self.plans: dict[int, tuple] = {}
         self.bands: list[tuple[int, int]] = []
 
@@ -107,7 +109,7 @@ class PartEnum:
         some = np.flatnonzero(sizes)
         own = np.array([self.band(int(n)) for n in sizes[some]], np.int64)
         doc = np.repeat(np.arange(len(some)), sizes[some])
-        place = mix(flat ^ np.uint64(0xD6E8FEB86659FD93))
+        place = mix(flat ^ self.salt)
         for step in (0, 1):
             band = own + step
             plans = {b: self.plan(b) for b in set(band.tolist())}
@@ -137,10 +139,11 @@ class PartEnum:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from
-    half the set's size: two sets differ in at least as many elements as their sketches differ
-    in bits. A wide sketch becomes a narrow one by XOR of its halves (differing_bits)."""
-    bits = max(SKETCH_BITS, 1 << ((len(s) + 1) // 2 - 1).bit_length() if len(s) > 1 else 0)
+    """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from four
+    times the set's size: two sets differ in at least as many elements as their sketches differ
+    in bits, and hardly in more while they differ in few. A wide sketch becomes a narrow one by
+    XOR of its halves (differing_bits)."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length() if len(s) else 0)
     n = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
 
@@ -161,13 +164,20 @@ def differing_bits(words: np.ndarray, start: np.ndarray, p: np.ndarray, q: np.nd
 
 #: Signatures of one map task that share a value this often are spread over several owners.
 SPREAD = 64
-#: Rows of a signature's group that one task compares with as many others at most.
-BLOCK = 4000
+#: Rows, and elements of their sets, of a signature's group that one task compares with as many
+#: others at most. Groups beyond are parted by the signatures of another cut of the domain.
+BLOCK, BLOCK_ELEMENTS = 2000, 4_000_000
+#: Cuts of the domain after the first that part large groups; what is still large then is
+#: compared block by block.
+CUTS = 2
 #: Bytes of packed signatures that a map task holds before it sends them.
-SEND_BYTES = 48 << 20
-HUB_ROUNDS = 2
+SEND_BYTES = 32 << 20
+#: Bytes of text for each owner of a range of signatures.
+OWNER_BYTES = 8 << 20
 #: Nodes with a signature in common up to which their keys are broadcast.
 BROADCAST_ROWS = 500_000
+#: Parts into which a component's rows are dealt where they meet its least id.
+SALTS = 16
 
 
 def _pack(sig: np.ndarray, node: np.ndarray, copies: np.ndarray) -> bytes:
@@ -276,28 +286,54 @@ def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owne
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "owner int, packed binary")
 
 
+def _members(node: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys and the size of each group of distinct nodes, groups beginning at start:
+    equal for groups of the same nodes."""
+    v = node.astype(np.uint64)
+    sizes = np.diff(np.concatenate((start, [len(v)]))).astype(np.uint64)
+    return np.stack((np.add.reduceat(mix(v), start), np.add.reduceat(mix(v * GOLD + MIX1), start), sizes), 1)
+
+
 def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
-    """(sig, node) of signatures that more than one node has."""
+    """(sig, node) of signatures that more than one node has; of an owner's groups of the same
+    nodes, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
             for o, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 held.setdefault(o, []).append(p.as_py())
-        for parts in held.values():
+        while held:
+            owner, parts = held.popitem()
             sig, node, copy = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
             o = np.lexsort((copy, node, sig))
             sig, node, copy = sig[o], node[o], copy[o]
-            keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-            sig, node, copy = sig[keep], node[keep], copy[keep]
-            start = np.concatenate(([True], sig[1:] != sig[:-1]))
-            n = np.diff(np.concatenate((np.flatnonzero(start), [len(sig)])))
-            keep = np.repeat(n > 1, n) & ~copy
+            new = np.concatenate(([True], sig[1:] != sig[:-1]))
+            hot = np.logical_or.reduceat(copy, np.flatnonzero(new))
+            keep = new | np.concatenate(([True], node[1:] != node[:-1]))
+            sig, node, copy, new = sig[keep], node[keep], copy[keep], new[keep]
+            start = np.flatnonzero(new)
+            n = np.diff(np.concatenate((start, [len(sig)])))
+            # A group is all here unless parts of it were spread; then a copy tells of them.
+            whole = ~hot & (sig[start] % np.uint64(owners) == np.uint64(owner)) & (n > 1)
+            first = np.zeros(len(start), bool)
+            if whole.any():
+                _, at = np.unique(_members(node, start)[whole], axis=0, return_index=True)
+                first[np.flatnonzero(whole)[at]] = True
+            keep = np.repeat((n > 1) & (~whole | first), n) & ~copy
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "node"])
 
     return rows.repartition(owners, "owner").mapInArrow(run, "sig long, node long")
 
 
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """Of groups (sig) of the same nodes, one: it tells all that the others do. The rows are
+    distinct, so that XOR of two hashes and the number stand for the nodes (by 128 bits)."""
+    groups = rows.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")).where("n > 1")
+    some = groups.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(some, "sig", "left_semi")
+
+
 def _most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Elements in which linked sets of sizes a and b differ at most."""
     return (a + b) * (den - num) // (den + num)
@@ -328,27 +364,52 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.union(e.select(F.col("b"), F.col("b")).distinct())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after links (a, b) between their nodes: the components are joined as
+    nodes of a smaller graph, and each node takes its component's new name."""
+    x, y = (labels.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in ("a", "b"))
+    between = links.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return materialise(labels.join(named, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether sorted sets have a Jaccard similarity of num / den or more, exactly."""
+    i = len(np.intersect1d(x, y, assume_unique=True))
+    return den * i >= num * (len(x) + len(y) - i)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is num / den or more, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                i = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * i >= num * (len(x) + len(y) - i))
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    # Sketches leave few pairs: only the sets of their nodes are made, from the texts again.
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(_elements(docs, nodes.join(wanted, "node", "left_semi"), n, id_col, text_col), "elements")
+            keep = pa.array([_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(t.column(2), t.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
+
     x = sets.select(F.col("node").alias("a"), F.col("elements").alias("xa"))
     y = sets.select(F.col("node").alias("b"), F.col("elements").alias("xb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+class _Sets:
+    """The sets of nodes, made from the texts when they are first asked for: only those of
+    nodes that a sketch leaves a partner."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str):
+        self.docs, self.nodes, self.how, self.made = docs, nodes, (n, id_col, text_col), None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """A table (node, elements) with the wanted nodes (column node, distinct) and others."""
+        if self.made is not None:
+            wanted = wanted.join(self.made.select("node"), "node", "left_anti")
+        wanted = materialise(self.nodes.join(wanted, "node", "left_semi").select("node", "rep"), "wanted")
+        if self.made is None or not wanted.isEmpty():
+            more = materialise(_elements(self.docs, wanted, *self.how), "elements")
+            self.made = more if self.made is None else self.made.union(more)
+        return self.made
+
+
 def _elements(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, elements) of nodes: the sets of one row each, from its text, read again."""
 
@@ -368,94 +429,183 @@ def _elements(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col:
     return rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, elements binary")
 
 
-def _may_link(x: str, y: str, num: int, den: int):
-    """Sizes and sketches (columns size and sketch with these suffixes) allow a link."""
-    a, b = F.col(f"size{x}"), F.col(f"size{y}")
-    s, t = F.col(f"sketch{x}"), F.col(f"sketch{y}")
-    width = F.least(F.size(s), F.size(t))
-
-    def folded(words):
-        """The words at the narrower width."""
-        at = F.sequence(F.lit(0), width - 1)
-        return F.when(F.size(words) == width, words).otherwise(F.transform(at, lambda i: F.aggregate(F.filter(words, lambda _, j: j % width == i), F.lit(0).cast("long"), lambda v, w: v.bitwiseXOR(w))))
-
-    differ = F.aggregate(F.zip_with(folded(s), folded(t), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
-    return (den * F.least(a, b) >= num * F.greatest(a, b)) & (differ * (den + num) <= (a + b) * (den - num))
-
-
-def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return nodes.select("node", "size", "sketch", F.col("node").alias("comp"))
-    return nodes.select("node", "size", "sketch").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _hub_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, turn: int, num: int, den: int) -> DataFrame:
-    """For each node one hub, of those that its signatures' groups have and that may link:
-    (a, b), in different components."""
-    hubs = shared.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"))).alias("x")).select("sig", "x.hub")
-    pairs = shared.join(hubs, "sig").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    x = _labelled(nodes, labels)
-    pairs = pairs.join(x.select(*(F.col(c).alias(f"{c}1") for c in x.columns)), F.col("a") == F.col("node1")).join(x.select(*(F.col(c).alias(f"{c}2") for c in x.columns)), F.col("b") == F.col("node2"))
-    pairs = pairs.where((F.col("comp1") != F.col("comp2")) & _may_link("1", "2", num, den))
-    return pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("x")).select("a", "x.b")
-
-
-def _rest_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, owners: int, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) that share a signature, are in different components and may link."""
-    x = _labelled(nodes, labels)
-    rows = shared.join(x.select("node", "comp"), "node")
-    groups = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2")
-    live = rows.join(groups.select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sig")
-    live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.drop("comp").join(x, "node").select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        sig, i, j, block, node, comp, size = (t.column(k).to_numpy() for k in range(7))
-        lists = t.column(7).combine_chunks()
-        marks = lists.flatten().to_numpy().view(np.uint64)
+class _Marks:
+    """Sizes and sketches of the rows of an Arrow table."""
+
+    def __init__(self, size, lists):
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        self.size = size.to_numpy()
+        self.marks = lists.flatten().to_numpy().view(np.uint64)
         start = lists.offsets.to_numpy().astype(np.int64)
-        start -= start[0]
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        group = np.cumsum(new)
-        a, b = [], []
-        at = np.arange(len(t))
-        for shift in range(1, len(t)):
-            at = at[: np.searchsorted(at, len(t) - shift)]
-            at = at[group[at] == group[at + shift]]
-            if not len(at):
-                break
-            to = at + shift
-            ok = (comp[at] != comp[to]) & ((i[at] == j[at]) | (block[at] != block[to])) & (den * np.minimum(size[at], size[to]) >= num * np.maximum(size[at], size[to]))
-            p, q = at[ok], to[ok]
-            ok = differing_bits(marks, start, p, q) <= _most(size[p], size[q], num, den)
-            a.append(node[p[ok]])
-            b.append(node[q[ok]])
-        a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b))
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        self.start = start - start[0]
+
+    def may_link(self, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which pairs of rows p and q their sizes and sketches allow."""
+        a, b = self.size[p], self.size[q]
+        ok = den * np.minimum(a, b) >= num * np.maximum(a, b)
+        ok[ok] = differing_bits(self.marks, self.start, p[ok], q[ok]) <= _most(a[ok], b[ok], num, den)
+        return ok
+
+
+def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """For each node the hub that its sketch says is nearest, of those that its signatures'
+    groups have and that may link: (a, b), in different components. live: sig, node, comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            held.append(b)
-            n += len(b)
-            if n < 20_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = [t.column(k).to_numpy() for k in range(3)]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = int(np.argmax(same))
-            if cut:
-                yield compare(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-                n = len(t) - cut
-        if n:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
-
-    sent = live.repartition(owners, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return sent.mapInArrow(run, "a long, b long").distinct()
+        for t in batches:
+            for lo in range(0, len(t), 2000):
+                c = t.slice(lo, 2000)
+                m = _Marks(pa.concat_arrays([c.column(2), c.column(4)]), pa.concat_arrays([c.column(3), c.column(5)]))
+                p = np.arange(len(c))
+                p = p[m.may_link(p, p + len(c), num, den)]
+                gap = differing_bits(m.marks, m.start, p, p + len(c)) / (m.size[p] + m.size[p + len(c)])
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(p)), c.column(1).take(pa.array(p)), pa.array(gap)], names=["a", "b", "gap"])
+
+    hubs = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hubcomp"))).alias("x")).select("sig", "x.hub", "x.hubcomp")
+    pairs = live.join(hubs, "sig").where("comp <> hubcomp").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    x, y = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"size{k}"), F.col("sketch").alias(f"sketch{k}")) for k in ("a", "b"))
+    pairs = pairs.join(x, "a").join(y, "b").where((den * F.least("sizea", "sizeb")) >= num * F.greatest("sizea", "sizeb"))
+    pairs = pairs.select("a", "b", "sizea", "sketcha", "sizeb", "sketchb").mapInArrow(run, "a long, b long, gap double")
+    return pairs.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", "x.b")
+
+
+def _live(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, comp) of the groups that have nodes of more than one component."""
+    rows = rows.select("sig", "node").join(labels, "node")
+    open_ = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("sig")
+    return materialise(rows.join(open_, "sig", "left_semi"), "live")
+
+
+def _hooked(lab: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels of rows after edges (p, q): those of a component are equal."""
+    while len(p):
+        a, b = lab[p], lab[q]
+        differ = a != b
+        if not differ.any():
+            break
+        p, q = p[differ], q[differ]
+        np.minimum.at(lab, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (lab[lab] != lab).any():
+            lab = lab[lab]
+    return lab
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of `least` rows or more but for the last; rows come sorted by
+    their first `keys` columns, which name the group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.logical_and.reduce([k == k[-1] for k in (t.column(k).to_numpy() for k in range(keys))])
+        cut = int(np.argmax(same))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+            held = t.slice(cut).to_batches()
+            n = len(t) - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _refined(live: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """live, its large groups parted by the signatures of other cuts of the domain: linked sets
+    share one under each cut, so that a link of a large group is in one of its parts."""
+    done, open_ = None, live
+    for cut in range(1, CUTS + 1):
+        sizes = open_.join(nodes.select("node", "size"), "node").groupBy("sig").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+        large = materialise(sizes.where((F.col("n") > BLOCK) | (F.col("m") > BLOCK_ELEMENTS)).select("sig"), "large")
+        if large.isEmpty():
+            break
+        small = open_.join(large, "sig", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        rows = open_.join(large, "sig", "left_semi")
+        wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+
+        def run(batches: Iterator[pa.RecordBatch], plan=PartEnum(num, den, cut=cut)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, len(b), 64):
+                    part = b.slice(lo, 64)
+                    sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)]
+                    sig, at = plan.signatures(np.concatenate(sets), np.array([len(x) for x in sets], np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(sig.view(np.int64))], names=["node", "other"])
+
+        more = _elements(docs, wanted, n, id_col, text_col).mapInArrow(run, "node long, other long").distinct()
+        parts = rows.join(more, "node").select(F.xxhash64("sig", "other").alias("sig"), "node", "comp").distinct()
+        open_ = materialise(_distinct_groups(parts), "parts")
+    return open_ if done is None else done.unionByName(open_.select(*done.columns))
+
+
+def _candidates(live: DataFrame, nodes: DataFrame, owners: int, num: int, den: int) -> DataFrame:
+    """(family, node): within each group, the nodes of different components that sketches let
+    link, by components of such pairs. No pair leaves its task: a family is as many rows as it
+    has nodes, and families of the same nodes, from whichever groups, have the same key."""
+    rows = live.join(nodes.select("node", "size", "sketch"), "node")
+    sizes = rows.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 3, 4000):
+            sig, i, j, block, node, comp = (t.column(k).to_numpy() for k in range(6))
+            m = _Marks(t.column(6), t.column(7))
+            group = np.cumsum(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            lab = at = np.arange(len(t))
+            for shift in range(1, len(t)):
+                at = at[: np.searchsorted(at, len(t) - shift)]
+                at = at[group[at] == group[at + shift]]
+                if not len(at):
+                    break
+                to = at + shift
+                ok = (lab[at] != lab[to]) & (comp[at] != comp[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
+                p, q = at[ok], to[ok]
+                ok = m.may_link(p, q, num, den)
+                lab = _hooked(lab.copy(), p[ok], q[ok])
+            o = np.argsort(lab, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], lab[o][1:] != lab[o][:-1])))
+            names = _members(node[o], start)
+            n = names[:, 2].astype(np.int64)
+            key = (mix(mix(names[:, 0]) + names[:, 1]) + names[:, 2]).view(np.int64)
+            keep = np.repeat(n > 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)[keep]), pa.array(node[o][keep])], names=["family", "node"])
+
+    sent = rows.repartition(owners, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return materialise(sent.mapInArrow(run, "family long, node long").distinct(), "families")
+
+
+def _family_links(families: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, owners: int, num: int, den: int) -> DataFrame:
+    """Links (a, b), verified, that join the components of each family's nodes as far as links
+    within it do: at most one less than the family's nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 1, 1):
+            family, node, comp = (t.column(k).to_numpy() for k in range(3))
+            m = _Marks(t.column(3), t.column(4))
+            group = np.cumsum(np.concatenate(([True], family[1:] != family[:-1])))
+            # Rows of one component begin under one label.
+            _, lab = np.unique(np.stack((group, comp), 1), axis=0, return_inverse=True)
+            lab, at, found = lab.reshape(-1), np.arange(len(t)), []
+            for shift in range(1, len(t)):
+                at = at[: np.searchsorted(at, len(t) - shift)]
+                at = at[group[at] == group[at + shift]]
+                if not len(at):
+                    break
+                p = at[lab[at] != lab[at + shift]]
+                p = p[m.may_link(p, p + shift, num, den)]
+                for x in p.tolist():
+                    y = x + shift
+                    if lab[x] != lab[y] and _similar(*(np.frombuffer(t.column(5)[k].as_py(), np.uint64) for k in (x, y)), num, den):
+                        lab[lab == lab[x]] = lab[y]
+                        found.append((x, y))
+            x, y = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    rows = families.join(labels, "node").join(nodes.select("node", "size", "sketch"), "node").join(sets, "node").select("family", "node", "comp", "size", "sketch", "elements")
+    return rows.repartition(owners, "family").sortWithinPartitions("family").mapInArrow(run, "a long, b long")
 
 
 def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -464,36 +614,58 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     Two rows link when den * |intersection| >= num * |union| of their sets of distinct n-word
     shingles; a text with fewer words has its whole sequence as one shingle.
 
-    Rows of equal sets are one node. Nodes that share a signature are compared by sketches,
-    which never part linked sets, and exactly after that: first every node with one hub of
-    its groups, in HUB_ROUNDS orders, so that a family of near copies becomes one component
-    at the cost of one pair a node; then all pairs whose components still differ, in blocks.
-    Pairs within a component are not compared, as they can't change it."""
+    Rows of equal sets are one node (by a key of 63 bits). Nodes that share a signature are
+    compared by sketches, which never part linked sets, and exactly after that. First every
+    node meets one hub of its groups, in turns that end when one finds no new link, so that a
+    family of near copies becomes one component at the cost of a pair for each node. Groups
+    that have more than one component then are compared whole: a task finds the families whose
+    sketches allow links, another verifies a family's pairs until its nodes are joined as far
+    as they can be. Neither emits more rows than it reads, and pairs within a component, which
+    can't change it, are not compared."""
     spark = docs.sparkSession
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES), 1)
     # Two readings of the texts: kept for both uses, the packed signatures would lie on disk
     # twice, and they are the largest thing here.
     shared = materialise(_shared_signatures(_signatures(docs, text_col, n, num, den, owners), owners), "signatures")
     free_shuffles(spark)
+    groups = materialise(_distinct_groups(shared), "groups")
     each = materialise(_sets(docs, id_col, text_col, n), "sets")
-    near = shared.select("node").distinct()
+    drop_path(spark, shared.scratch)
+    near = groups.select("node").distinct()
     nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
     nodes = materialise(nodes, "nodes")
-    edges = None
-    labels = None
-    for turn in range(HUB_ROUNDS):
-        pairs = _hub_pairs(shared, nodes, labels, turn, num, den)
-        new = materialise(_verified(pairs, docs, nodes, n, num, den, id_col, text_col), "links")
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
+    sets = _Sets(docs, nodes, n, id_col, text_col)
+    labels = materialise(nodes.select("node", F.col("node").alias("comp")), "labels")
+    live, turn = _live(groups, labels), 0
+    while True:
+        pairs = materialise(_hub_pairs(live, nodes, turn, num, den), "pairs")
+        if pairs.isEmpty():
+            break
+        made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        links = materialise(_verified(pairs, made, num, den), "links")
+        if links.isEmpty():
+            break
+        labels = relabelled(labels, links)
+        old, live, turn = live, _live(live, labels), turn + 1
+        drop_path(spark, old.scratch)
         free_shuffles(spark)
-    rest = _rest_pairs(shared, nodes, labels, owners, num, den)
-    more = materialise(_verified(rest, docs, nodes, n, num, den, id_col, text_col), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    families = _candidates(_refined(live, docs, nodes, n, num, den, id_col, text_col), nodes, owners, num, den)
+    if not families.isEmpty():
+        made = sets.of(families.select("node").distinct())
+        links = materialise(_family_links(families, nodes, labels, made, owners, num, den), "links")
+        labels = relabelled(labels, links)
+    free_shuffles(spark)
     return each.select("id", "text_hash", "node", "size"), labels
 
 
+def _salted(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """rows join by on comp, a component's rows dealt to SALTS places: by has a row for each
+    component, and a component can have a third of all rows."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    return rows.join(by.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["comp", "salt"]).drop("salt")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_shingles (size of its set) and component_id.
 
@@ -505,7 +677,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     firsts = each.where("size > 0").groupBy("node").agg(F.min("id").alias("first"))
     joined = labels.join(firsts, "node")
     least = joined.groupBy("comp").agg(F.min("first").alias("least"))
-    named = joined.join(least, "comp").select("node", "least")
+    named = _salted(joined, least).select("node", "least")
     found = firsts.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component"))
     out = each.join(found, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
@@ -519,6 +691,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     each = each.where("size > 0").join(labels, "node", "left").select("id", "text_hash", rank.alias("rank"), F.coalesce("comp", "node").alias("comp"))
     best = each.groupBy("comp").agg(F.min("rank").alias("best"), F.max("rank").alias("last")).where("best <> last").select("comp", "best")
-    gone = materialise(each.join(best, "comp").where("rank <> best").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-copies")
+    gone = materialise(_salted(each, best).where("rank <> best").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone._id) & (F.xxhash64(docs[text_col]) == gone._hash), "left_anti")

@@ -320,6 +320,24 @@ def test_jaccard_components(spark, n, num, den):
     assert kept == {rows[c][0] for c in comp}
 
 
+def test_jaccard_ways_beyond_every_threshold(spark, monkeypatch):
+    """Large groups, spread signatures, many owners and shuffled joins give the same links."""
+    for name, value in (("BLOCK", 4), ("BLOCK_ELEMENTS", 400), ("SPREAD", 2), ("SEND_BYTES", 4000), ("OWNER_BYTES", 20_000), ("BROADCAST_ROWS", 1)):
+        monkeypatch.setattr(partenum, name, value)
+    r = random.Random(11)
+    line, rows = made_up(900, 30), []
+    for i in range(60):
+        w = made_up(i % 3, 45).split()
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(999)}"
+        rows.append((i, " ".join(w) if i % 4 else f"{line} {made_up(300 + i, r.randrange(2, 16))}"))
+    sets, comp = linked(rows, 5, 8, 10)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in partenum.jaccard_components(df, 5, 8, 10).collect()}
+    assert got == {k: (len(sets[k]), rows[comp[k]][0]) for k in range(len(rows))}
+    assert 10 < len(set(comp)) < 50
+
+
 def test_jaccard_oddities(spark, odd, none):
     got = partenum.jaccard_components(odd)
     assert got.count() == odd.count()
