@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marquee.llm.common import drop_path, free_shuffles, materialise
@@ -174,6 +174,8 @@ CUTS = 2
 SEND_BYTES = 32 << 20
 #: Bytes of text for each owner of a range of signatures.
 OWNER_BYTES = 8 << 20
+#: Turns in which each node meets one hub, before a family's pairs are verified.
+HUB_TURNS = 2
 #: Nodes with a signature in common up to which their keys are broadcast.
 BROADCAST_ROWS = 500_000
 #: Parts into which a component's rows are dealt where they meet its least id.
@@ -344,22 +346,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; each is joins and partial minima, written to
     the shared folder, so a star around a hot node is never in one task."""
-    spark = edges.sparkSession
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df as a table, and its rows' number and sum, which tell whether a step changed it."""
+        seen = Observation()
+        out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return out, (seen.get["n"], seen.get["sum"])
+
+    e, now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    while now != before and now[0]:
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = sym.join(least, sym.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(down, large.a == down.u)
         step = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        old, e = e, materialise(step, "edges")
-        drop_path(spark, old.scratch)
+        old, before = e, now
+        e, now = kept(step)
+        drop_path(edges.sparkSession, old.scratch)
     labels = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels.union(e.select(F.col("b"), F.col("b")).distinct())
 
@@ -448,8 +452,8 @@ class _Marks:
 
 
 def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """For each node the hub that its sketch says is nearest, of those that its signatures'
-    groups have and that may link: (a, b), in different components. live: sig, node, comp."""
+    """For each node the hub that its sketch says is nearest, of those that its families have
+    and that may link: (a, b), in different components. live: family, node, comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -461,19 +465,19 @@ def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int, num: int, den: int)
                 gap = differing_bits(m.marks, m.start, p, p + len(c)) / (m.size[p] + m.size[p + len(c)])
                 yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(p)), c.column(1).take(pa.array(p)), pa.array(gap)], names=["a", "b", "gap"])
 
-    hubs = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hubcomp"))).alias("x")).select("sig", "x.hub", "x.hubcomp")
-    pairs = live.join(hubs, "sig").where("comp <> hubcomp").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = live.groupBy("family").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hubcomp"))).alias("x")).select("family", "x.hub", "x.hubcomp")
+    pairs = live.join(hubs, "family").where("comp <> hubcomp").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     x, y = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"size{k}"), F.col("sketch").alias(f"sketch{k}")) for k in ("a", "b"))
     pairs = pairs.join(x, "a").join(y, "b").where((den * F.least("sizea", "sizeb")) >= num * F.greatest("sizea", "sizeb"))
     pairs = pairs.select("a", "b", "sizea", "sketcha", "sizeb", "sketchb").mapInArrow(run, "a long, b long, gap double")
     return pairs.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", "x.b")
 
 
-def _live(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, comp) of the groups that have nodes of more than one component."""
-    rows = rows.select("sig", "node").join(labels, "node")
-    open_ = rows.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("sig")
-    return materialise(rows.join(open_, "sig", "left_semi"), "live")
+def _live(families: DataFrame, labels: DataFrame) -> DataFrame:
+    """(family, node, comp) of the families that have nodes of more than one component."""
+    rows = families.join(labels, "node")
+    open_ = rows.groupBy("family").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("family")
+    return materialise(rows.join(open_, "family", "left_semi").select("family", "node", "comp"), "live")
 
 
 def _hooked(lab: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -511,15 +515,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _refined(live: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """live, its large groups parted by the signatures of other cuts of the domain: linked sets
-    share one under each cut, so that a link of a large group is in one of its parts."""
-    done, open_ = None, live
-    for cut in range(1, CUTS + 1):
-        sizes = open_.join(nodes.select("node", "size"), "node").groupBy("sig").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
-        large = materialise(sizes.where((F.col("n") > BLOCK) | (F.col("m") > BLOCK_ELEMENTS)).select("sig"), "large")
-        if large.isEmpty():
-            break
+def _refined(groups: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """groups (sig, node), the large ones parted by the signatures of other cuts of the domain:
+    linked sets share one under each cut, so that a link of a large group is in one of its
+    parts. And (sig, blocks) of the groups that are large still."""
+    done, open_ = None, groups
+    for cut in range(1, CUTS + 2):
+        sizes = open_.join(nodes.select("node", "size"), "node").groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+        large = materialise(sizes.where("blocks > 1"), "large")
+        if cut > CUTS or large.isEmpty():
+            return open_ if done is None else done.unionByName(open_), large
         small = open_.join(large, "sig", "left_anti")
         done = small if done is None else done.unionByName(small)
         rows = open_.join(large, "sig", "left_semi")
@@ -534,25 +539,24 @@ def _refined(live: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: in
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(sig.view(np.int64))], names=["node", "other"])
 
         more = _elements(docs, wanted, n, id_col, text_col).mapInArrow(run, "node long, other long").distinct()
-        parts = rows.join(more, "node").select(F.xxhash64("sig", "other").alias("sig"), "node", "comp").distinct()
+        parts = rows.join(more, "node").select(F.xxhash64("sig", "other").alias("sig"), "node").distinct()
         open_ = materialise(_distinct_groups(parts), "parts")
-    return open_ if done is None else done.unionByName(open_.select(*done.columns))
 
 
-def _candidates(live: DataFrame, nodes: DataFrame, owners: int, num: int, den: int) -> DataFrame:
-    """(family, node): within each group, the nodes of different components that sketches let
-    link, by components of such pairs. No pair leaves its task: a family is as many rows as it
-    has nodes, and families of the same nodes, from whichever groups, have the same key."""
-    rows = live.join(nodes.select("node", "size", "sketch"), "node")
-    sizes = rows.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _families(groups: DataFrame, large: DataFrame, nodes: DataFrame, owners: int, num: int, den: int) -> DataFrame:
+    """(family, node): within each group, the nodes that sketches let link, by components of
+    such pairs. No pair leaves its task: a family is as many rows as it has nodes, and families
+    of the same nodes, from whichever groups, have the same key. A group of several blocks is
+    compared block by block."""
+    rows = groups.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "sketch")
+    rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node").join(nodes, "node")
+    rows = rows.select("sig", "i", "j", "block", "node", "size", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3, 4000):
-            sig, i, j, block, node, comp = (t.column(k).to_numpy() for k in range(6))
-            m = _Marks(t.column(6), t.column(7))
+            sig, i, j, block, node = (t.column(k).to_numpy() for k in range(5))
+            m = _Marks(t.column(5), t.column(6))
             group = np.cumsum(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             lab = at = np.arange(len(t))
             for shift in range(1, len(t)):
@@ -561,7 +565,7 @@ def _candidates(live: DataFrame, nodes: DataFrame, owners: int, num: int, den: i
                 if not len(at):
                     break
                 to = at + shift
-                ok = (lab[at] != lab[to]) & (comp[at] != comp[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
+                ok = (lab[at] != lab[to]) & ((i[at] == j[at]) | (block[at] != block[to]))
                 p, q = at[ok], to[ok]
                 ok = m.may_link(p, q, num, den)
                 lab = _hooked(lab.copy(), p[ok], q[ok])
@@ -574,12 +578,12 @@ def _candidates(live: DataFrame, nodes: DataFrame, owners: int, num: int, den: i
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)[keep]), pa.array(node[o][keep])], names=["family", "node"])
 
     sent = rows.repartition(owners, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return materialise(sent.mapInArrow(run, "family long, node long").distinct(), "families")
+    return sent.mapInArrow(run, "family long, node long").distinct()
 
 
-def _family_links(families: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, owners: int, num: int, den: int) -> DataFrame:
+def _family_links(live: DataFrame, nodes: DataFrame, sets: DataFrame, owners: int, num: int, den: int) -> DataFrame:
     """Links (a, b), verified, that join the components of each family's nodes as far as links
-    within it do: at most one less than the family's nodes."""
+    within it do: at most one less than the family's nodes. live: family, node, comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 1, 1):
@@ -604,7 +608,7 @@ def _family_links(families: DataFrame, nodes: DataFrame, labels: DataFrame, sets
             x, y = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
-    rows = families.join(labels, "node").join(nodes.select("node", "size", "sketch"), "node").join(sets, "node").select("family", "node", "comp", "size", "sketch", "elements")
+    rows = live.join(nodes.select("node", "size", "sketch"), "node").join(sets, "node").select("family", "node", "comp", "size", "sketch", "elements")
     return rows.repartition(owners, "family").sortWithinPartitions("family").mapInArrow(run, "a long, b long")
 
 
@@ -615,13 +619,13 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     shingles; a text with fewer words has its whole sequence as one shingle.
 
     Rows of equal sets are one node (by a key of 63 bits). Nodes that share a signature are
-    compared by sketches, which never part linked sets, and exactly after that. First every
-    node meets one hub of its groups, in turns that end when one finds no new link, so that a
-    family of near copies becomes one component at the cost of a pair for each node. Groups
-    that have more than one component then are compared whole: a task finds the families whose
-    sketches allow links, another verifies a family's pairs until its nodes are joined as far
-    as they can be. Neither emits more rows than it reads, and pairs within a component, which
-    can't change it, are not compared."""
+    compared by sketches, which never part linked sets, in the task that has the signature's
+    group; what leaves it are families, the nodes that possible links connect. Then every node
+    meets one hub of its families, in HUB_TURNS turns, so that near copies become one component
+    at the cost of a pair for each node. A family that has more than one component still is
+    verified whole: its task compares pairs exactly until its nodes are joined as far as they
+    can be. No step emits more rows than it reads, and pairs within a component, which can't
+    change it, are not compared."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES), 1)
@@ -635,26 +639,25 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     near = groups.select("node").distinct()
     nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
     nodes = materialise(nodes, "nodes")
+    parts, large = _refined(groups, docs, nodes, n, num, den, id_col, text_col)
+    families = materialise(_families(parts, large, nodes, owners, num, den), "families")
+    free_shuffles(spark)
     sets = _Sets(docs, nodes, n, id_col, text_col)
-    labels = materialise(nodes.select("node", F.col("node").alias("comp")), "labels")
-    live, turn = _live(groups, labels), 0
-    while True:
-        pairs = materialise(_hub_pairs(live, nodes, turn, num, den), "pairs")
-        if pairs.isEmpty():
-            break
-        made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        links = materialise(_verified(pairs, made, num, den), "links")
-        if links.isEmpty():
-            break
-        labels = relabelled(labels, links)
-        old, live, turn = live, _live(live, labels), turn + 1
-        drop_path(spark, old.scratch)
-        free_shuffles(spark)
-    families = _candidates(_refined(live, docs, nodes, n, num, den, id_col, text_col), nodes, owners, num, den)
-    if not families.isEmpty():
-        made = sets.of(families.select("node").distinct())
-        links = materialise(_family_links(families, nodes, labels, made, owners, num, den), "links")
+    labels = materialise(families.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
+    live = _live(families, labels)
+    for turn in range(HUB_TURNS + 1):
+        if turn < HUB_TURNS:
+            pairs = materialise(_hub_pairs(live, nodes, turn, num, den), "pairs")
+            made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            links = _verified(pairs, made, num, den)
+        else:
+            made = sets.of(live.select("node").distinct())
+            links = _family_links(live, nodes, made, owners, num, den)
+        links = materialise(links, "links")
         labels = relabelled(labels, links)
+        live = _live(live.select("family", "node"), labels)
+        if live.isEmpty():
+            break
     free_shuffles(spark)
     return each.select("id", "text_hash", "node", "size"), labels
 
