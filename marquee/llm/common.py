@@ -62,6 +62,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def private(name: str) -> str:
+    """A column name that no input has, for columns beside an input's own."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of phases that have ended: it does so when the
     driver collects garbage, which may else be long after a phase's result is written."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import ALNUM_GAP, ascii_lower, materialise, word_array
+from marquee.llm.common import ALNUM_GAP, ascii_lower, materialise, private, word_array
 
 SPAN, GRAM = 10, 5
 #: Rows of item fingerprints or windows up to which they are broadcast.
@@ -144,9 +144,11 @@ def clean_documents(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: i
     """The rows of docs, with their columns, that have no word inside an item's window.
 
     Whether a row is contaminated is decided by its text alone, so rows leave by the digest
-    of their text: ids may repeat or be null. The digests of contaminated texts are broadcast
+    of their text: ids may repeat or be null, null and empty texts stay, and rows that repeat
+    stay or go together. Without items all rows stay. The digests of contaminated texts are broadcast
     where they are few, else the rows meet them in a shuffled join."""
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     bad = contamination(docs, items, span, gram, id_col, text_col, item_col, item_text_col, (digest,))
-    bad = materialise(bad.where("n_hit > 0").select(F.col("carry0").alias("_digest")).distinct(), "contaminated")
-    return docs.join(_small(bad), digest == F.col("_digest"), "left_anti")
+    of_bad = private("digest")
+    bad = materialise(bad.where("n_hit > 0").select(F.col("carry0").alias(of_bad)).distinct(), "contaminated")
+    return docs.join(_small(bad), digest == F.col(of_bad), "left_anti")

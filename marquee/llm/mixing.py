@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import SPACE_GAP, materialise, word_array
+from marquee.llm.common import SPACE_GAP, materialise, private, word_array
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -48,10 +48,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return t.select("source", "source_size", F.when(cut, F.lit(float(cap)) * F.col("source_size")).otherwise(F.col("_w") * F.col("_level")).alias("target"))
 
 
+def _hash_of(id_: Column, source: Column, text: Column) -> Column:
+    """A row's place in the mix: by id, source and text, so that rows that share an id, or have
+    none, are not all in or all out."""
+    return row_hash(id_, source, F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _plan(docs: DataFrame, weights, cap: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows with size and hash, and of each source: target, whole passes, hash threshold."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long").alias("size"))
-    base = materialise(base.withColumn("h", row_hash(F.col("id"))), "mix")
+    h = _hash_of(F.col(id_col), F.col(source_col), F.col(text_col))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long").alias("size"), h.alias("h"))
+    base = materialise(base, "mix")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sums, weights, cap)
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long"))
@@ -64,22 +71,25 @@ def _plan(docs: DataFrame, weights, cap: int, id_col: str, text_col: str, source
         # One row for each source: small against the rows, yet never assumed to fit a
         # broadcast; adaptive execution picks that by the measured size.
         inside = base.join(cut, base.source.eqNullSafe(cut.source)).where((F.col("size") > 0) & (F.col("h") >= F.col("floor")) & (F.col("h") < F.col("floor") + F.col("width"))).select(cut.source, "left", "floor", "h", "size")
-        hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         w = Window.partitionBy("source").orderBy("b")
         hist = hist.withColumn("upto", F.sum("words").over(w))
         # The bucket that crosses the budget, with the words of the buckets before it.
-        edge = hist.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", "words", "upto")).alias("e"))
-        edge = edge.select(F.col("source").alias("s2"), F.shiftleft(F.col("e.b"), shift).alias("edge"), (F.col("e.upto") - F.col("e.words")).alias("before"), F.col("e.words").alias("words"))
+        edge = hist.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", "words", "upto", "lo", "hi")).alias("e"))
+        # A bucket of one hash value is as fine as any: its width is 1 from here on.
+        one = F.col("e.lo") == F.col("e.hi")
+        edge = edge.select(F.col("source").alias("s2"), F.when(one, F.col("e.lo")).otherwise(F.shiftleft(F.col("e.b"), shift)).alias("edge"), F.when(one, 1).otherwise(1 << shift).alias("wide"), (F.col("e.upto") - F.col("e.words")).alias("before"), F.col("e.words").alias("words"))
         plan = plan.select("source", "source_size", "target", "passes", "left", "floor", "width").join(edge, plan.source.eqNullSafe(edge.s2), "left")
-        plan = plan.select("source", "source_size", "target", "passes", (F.col("left") - F.coalesce("before", F.lit(0))).alias("left"), F.coalesce("edge", F.col("floor") + F.col("width")).alias("floor"), F.when(F.col("edge").isNull(), F.lit(0)).otherwise(F.lit(1 << shift)).cast("long").alias("width"), F.coalesce("words", F.lit(0)).alias("words"))
+        plan = plan.select("source", "source_size", "target", "passes", (F.col("left") - F.coalesce("before", F.lit(0))).alias("left"), F.coalesce("edge", F.col("floor") + F.col("width")).alias("floor"), F.when(F.col("edge").isNull(), F.lit(0)).otherwise(F.col("wide")).cast("long").alias("width"), F.coalesce("words", F.lit(0)).alias("words"))
         plan = materialise(plan, f"mixplan{level}")
+        if plan.where("width > 1").isEmpty():
+            break
     # The last bucket is one hash value: it is in where that comes nearer to the target.
     return base, plan.select(F.col("source").alias("s3"), "source_size", "target", "passes", F.when((F.col("width") > 0) & (2 * F.col("left") >= F.col("words")), F.col("floor") + 1).otherwise(F.col("floor")).alias("threshold"))
 
 
-def _copies(h: Column, cap: int) -> Column:
-    extra = F.when((h < F.col("threshold")) & (F.col("passes") < cap), 1).otherwise(0)
-    return F.least(F.col("passes") + extra, F.lit(cap)).cast("long")
+def _copies(h: Column, cap: int, passes: Column, threshold: Column) -> Column:
+    return F.least(passes + F.when((h < threshold) & (passes < cap), 1).otherwise(0), F.lit(cap)).cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -87,10 +97,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id"
     often the mix takes the row) and taken (copies * size).
 
     Null texts have size 0; null sources are one source, last in order. Rows that agree in id,
-    source and size share a hash and are taken together. Reruns agree, as the hash depends on
+    source and text share a hash and are taken together; ids may repeat or be null. Reruns agree, as the hash depends on
     the row alone. An empty table gives no rows; a source without words has target 0."""
     base, plan = _plan(docs, weights, cap, id_col, text_col, source_col)
-    out = base.join(plan, base.source.eqNullSafe(plan.s3)).withColumn("copies", _copies(F.col("h"), cap))
+    out = base.join(plan, base.source.eqNullSafe(plan.s3)).withColumn("copies", _copies(F.col("h"), cap, F.col("passes"), F.col("threshold")))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -99,9 +109,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: st
     taken. The decision is a function of a row and its source's threshold, so it is made
     while the rows pass. Columns of docs of the new names are replaced."""
     _, plan = _plan(docs, weights, cap, id_col, text_col, source_col)
-    plan = plan.select("s3", F.col("target").alias("_target"), "threshold", "passes")
     names = ("size", "target", "copies", "taken")
-    docs = docs.drop(*names)
-    out = docs.join(plan, docs[source_col].eqNullSafe(plan.s3)).withColumn("copies", _copies(row_hash(docs[id_col]), cap)).where("copies > 0")
-    out = out.withColumn("size", F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long"))
-    return out.select(*docs.columns, "size", F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    source, target, threshold, passes, copies = (private(n) for n in ("source", "target", "threshold", "passes", "copies"))
+    plan = plan.select(F.col("s3").alias(source), F.col("target").alias(target), F.col("threshold").alias(threshold), F.col("passes").alias(passes))
+    h, size = _hash_of(F.col(id_col), F.col(source_col), F.col(text_col)), F.size(word_array(F.col(text_col), SPACE_GAP)).cast("long")
+    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col(source))).withColumn(copies, _copies(h, cap, F.col(passes), F.col(threshold))).where(F.col(copies) > 0)
+    kept = [F.col(c) for c in docs.columns if c not in names]
+    return out.select(*kept, size.alias("size"), F.col(target).alias("target"), F.col(copies).alias("copies"), (F.col(copies) * size).alias("taken"))

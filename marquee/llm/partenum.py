@@ -282,7 +282,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owne
                 if size > SEND_BYTES:
                     yield from send(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from send(held)
 
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "owner int, packed binary")

@@ -215,9 +215,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, held_out_of: int | None = 3, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs, with their columns, whose score is `least` or more. The score is a
-    function of the text alone, so it is applied while the rows pass, without a join."""
-    features = materialise(text_features(docs, id_col, text_col), "quality")
-    model = learn(features, labels, label_col, id_col, held_out_of, rows)
+    function of the text alone, so it is applied while the rows pass, without a join. Rows with
+    null ids or texts are scored like any other; an empty table gives no rows. For the fit,
+    features are computed of at most `rows` labelled ids alone, those of least hash."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    if held_out_of:
+        known = known.where(crc_mod("id", held_out_of) != 1)
+    picked = docs.select(F.col(id_col).alias("id")).join(known, "id", "left_semi").distinct()
+    picked = materialise(picked.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(rows), "quality-ids")
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    model = learn(text_features(few, "id", "text"), labels, label_col, id_col, held_out_of, rows)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

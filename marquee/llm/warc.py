@@ -2,10 +2,11 @@
 
 Each archive is a Zstandard stream: a leading skippable frame that holds a dictionary built
 from the archive's own records, then one frame for each record, compressed alone with that
-dictionary, so that a record can be read from its offset. Archives are written by Spark's text
-writer, which commits whole files only and writes to any store: a row is one frame, and the
-line separator is an empty skippable frame, which decoders pass over. They are read back with
-the binaryFile source.
+dictionary, so that a record can be read from its offset. An archive ends at ARCHIVE_BYTES of
+records, so a task holds no more than that and one record. Archives are written by Spark's text
+writer, which commits whole files only and writes to any store: a row is one archive, a file
+has FILE_ARCHIVES at most, and the line separator is an empty skippable frame, which decoders
+pass over. Files are read back with the binaryFile source.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +27,12 @@ from marquee.llm.common import scratch_path
 #: and for padding (0x184D2A50, without content; these eight bytes are ASCII).
 DICT_MAGIC = 0x184D2A5D
 PADDING = "P*M\x18\x00\x00\x00\x00"
-#: Bytes of records at an archive's start from which its dictionary is built, and its size.
-SAMPLE_BYTES, DICT_BYTES = 2 << 20, 32 << 10
+#: Bytes of records at which an archive ends, and archives in a file at most.
+ARCHIVE_BYTES, FILE_ARCHIVES = 16 << 20, 16
+#: A dictionary is built from pieces of an archive's records, in the order of their hashes: so
+#: many bytes of a piece and of all pieces at most. It has an eighth of the archive's bytes, and
+#: DICT_BYTES at most.
+PIECE_BYTES, SAMPLE_BYTES, DICT_BYTES = 16 << 10, 2 << 20, 32 << 10
 LEVEL = 3
 #: Bytes that are given to the decompressor at a time.
 PIECE = 32 << 10
@@ -59,54 +65,47 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from an archive's first records; empty where they are too few."""
+    """A dictionary from pieces of an archive's records, whichever their hashes pick: trained,
+    or, where the trainer finds too little in them, the pieces themselves as raw content."""
     import zstandard
 
-    if len(records) < 16 or sum(map(len, records)) < 8 * DICT_BYTES:
-        return b""
+    marks = [zlib.crc32(r) for r in records]
+    pieces, left = [], SAMPLE_BYTES
+    for i in sorted(range(len(records)), key=marks.__getitem__):
+        at = marks[i] % (len(records[i]) - PIECE_BYTES + 1) if len(records[i]) > PIECE_BYTES else 0
+        pieces.append(records[i][at : at + PIECE_BYTES])
+        left -= len(pieces[-1])
+        if left <= 0:
+            break
+    size = min(DICT_BYTES, sum(map(len, records)) // 8)
     try:
-        return zstandard.train_dictionary(DICT_BYTES, [r[: 64 << 10] for r in records], k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, pieces, k=256, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(pieces)[:size]
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _archive(records: list[bytes]) -> bytes:
     import zstandard
 
-    def rows(frames: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+    d = build_dictionary(records)
+    codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=True)
+    return b"".join([struct.pack("<II", DICT_MAGIC, len(d)), d, *map(codec.compress, records)])
+
 
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
-    size, codec = 0, None
+    size = 0
     for b in batches:
-        out = []
         for page_id, url, html, digest, first, copies in zip(*(b.column(k) for k in range(6)), strict=True):
             page_id, payload, first = page_id.as_py(), html.as_py(), first.as_py()
             revisit = len(payload) >= LEAST_REVISIT and copies.as_py() > 1 and page_id != first
-            r = record(page_id, url.as_py(), payload, digest.as_py(), first, revisit)
-            if codec:
-                out.append(codec.compress(r))
-                continue
-            held.append(r)
-            size += len(r)
-            if size >= SAMPLE_BYTES:
-                codec, head = _start(held, zstandard)
-                yield rows([head])
-                out = [codec.compress(x) for x in held]
-                held = []
-        if out:
-            yield rows(out)
+            held.append(record(page_id, url.as_py(), payload, digest.as_py(), first, revisit))
+            size += len(held[-1])
+            if size >= ARCHIVE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([_archive(held)], pa.binary())], names=["archive"])
+                held, size = [], 0
     if held:
-        codec, head = _start(held, zstandard)
-        yield rows([head])
-        for i in range(0, len(held), 512):
-            yield rows([codec.compress(x) for x in held[i : i + 512]])
-
-
-def _start(records: list[bytes], zstandard):
-    d = build_dictionary(records)
-    codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_checksum=True)
-    return codec, struct.pack("<II", DICT_MAGIC, len(d)) + d
+        yield pa.RecordBatch.from_arrays([pa.array([_archive(held)], pa.binary())], names=["archive"])
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -121,8 +120,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     planned = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", "first", F.coalesce("copies", F.lit(1)).alias("copies"))
-    frames = planned.mapInArrow(_frames, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", PADDING).text(path)
+    archives = planned.mapInArrow(_archives, "archive binary")
+    archives.select(F.col("archive").cast("string").alias("archive")).write.option("lineSep", PADDING).option("maxRecordsPerFile", FILE_ARCHIVES).text(path)
 
 
 def frames_of(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -135,7 +134,7 @@ def frames_of(data: bytes) -> Iterator[tuple[str, bytes]]:
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             if magic == DICT_MAGIC:
                 d = data[at + 8 : at + 8 + n]
-                codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdDecompressor()
+                codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d))
                 yield "dict", d
             at += 8 + n
             continue
