@@ -25,8 +25,8 @@ from marquee.llm.common import drop_path, free_shuffles, materialise
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MEMO_WORDS = 300_000
-#: The least width of a sketch. It grows with the set, four bits for an element at least: at a
-#: similarity of 0.8 it then lets pass few pairs below 0.79.
+#: The least width of a sketch. It grows with the set, a bit for an element at least: where 0.8
+#: is asked for, it then lets pass few pairs below 0.74.
 SKETCH_BITS = 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -139,11 +139,11 @@ class PartEnum:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from four
-    times the set's size: two sets differ in at least as many elements as their sketches differ
+    """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from the
+    set's size: two sets differ in at least as many elements as their sketches differ
     in bits, and hardly in more while they differ in few. A wide sketch becomes a narrow one by
     XOR of its halves (differing_bits)."""
-    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length() if len(s) else 0)
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0)
     n = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
 
@@ -174,7 +174,7 @@ CUTS = 2
 SEND_BYTES = 32 << 20
 #: Bytes of text for each owner of a range of signatures.
 OWNER_BYTES = 8 << 20
-#: Turns in which each node meets one hub, before a family's pairs are verified.
+#: Turns in which nodes of large clusters meet one hub each, before a family's pairs do.
 HUB_TURNS = 2
 #: Nodes with a signature in common up to which their keys are broadcast.
 BROADCAST_ROWS = 500_000
@@ -581,6 +581,19 @@ def _families(groups: DataFrame, large: DataFrame, nodes: DataFrame, owners: int
     return sent.mapInArrow(run, "family long, node long").distinct()
 
 
+def _clusters(families: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Families that share nodes as one, under the name of its least node: a node is in one
+    cluster, but in many families. Clusters beyond BLOCK stay the families that they were:
+    (family, node) of the others, of these, and whether there are such."""
+    leads = families.groupBy("family").agg(F.min("node").alias("b"))
+    stars = families.join(leads, "family").select(F.col("node").alias("a"), "b").distinct()
+    comps = materialise(components(stars), "clusters")
+    sizes = comps.join(nodes.select("node", "size"), "node").groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    large = materialise(sizes.where((F.col("n") > BLOCK) | (F.col("m") > BLOCK_ELEMENTS)).select("comp"), "large")
+    small = comps.join(large, "comp", "left_anti").select(F.col("comp").alias("family"), "node")
+    return small, families.join(comps.join(large, "comp", "left_semi").select("node"), "node", "left_semi").select("family", "node"), not large.isEmpty()
+
+
 def _family_links(live: DataFrame, nodes: DataFrame, sets: DataFrame, owners: int, num: int, den: int) -> DataFrame:
     """Links (a, b), verified, that join the components of each family's nodes as far as links
     within it do: at most one less than the family's nodes. live: family, node, comp."""
@@ -620,12 +633,13 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
 
     Rows of equal sets are one node (by a key of 63 bits). Nodes that share a signature are
     compared by sketches, which never part linked sets, in the task that has the signature's
-    group; what leaves it are families, the nodes that possible links connect. Then every node
-    meets one hub of its families, in HUB_TURNS turns, so that near copies become one component
-    at the cost of a pair for each node. A family that has more than one component still is
-    verified whole: its task compares pairs exactly until its nodes are joined as far as they
-    can be. No step emits more rows than it reads, and pairs within a component, which can't
-    change it, are not compared."""
+    group; what leaves it are families, the nodes that possible links connect. Families that
+    share nodes are a cluster, whose task compares pairs exactly until its nodes are joined as
+    far as they can be. Where a cluster is too large for a task, every node first meets one hub
+    of its families, in HUB_TURNS turns, so that near copies become one component at the cost
+    of a pair for each node, and then each family is compared like a cluster. No step emits
+    more rows than it reads, and pairs within a component, which can't change it, are not
+    compared."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES), 1)
@@ -644,20 +658,20 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     free_shuffles(spark)
     sets = _Sets(docs, nodes, n, id_col, text_col)
     labels = materialise(families.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
-    live = _live(families, labels)
-    for turn in range(HUB_TURNS + 1):
+    small, others, some = _clusters(families, nodes)
+    made = sets.of(small.select("node"))
+    links = materialise(_family_links(small.withColumn("comp", F.col("node")), nodes, made, owners, num, den), "links")
+    labels = relabelled(labels, links)
+    for turn in range(HUB_TURNS + 1 if some else 0):
+        others = _live(others.select("family", "node"), labels)
         if turn < HUB_TURNS:
-            pairs = materialise(_hub_pairs(live, nodes, turn, num, den), "pairs")
+            pairs = materialise(_hub_pairs(others, nodes, turn, num, den), "pairs")
             made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
             links = _verified(pairs, made, num, den)
         else:
-            made = sets.of(live.select("node").distinct())
-            links = _family_links(live, nodes, made, owners, num, den)
-        links = materialise(links, "links")
-        labels = relabelled(labels, links)
-        live = _live(live.select("family", "node"), labels)
-        if live.isEmpty():
-            break
+            made = sets.of(others.select("node").distinct())
+            links = _family_links(others, nodes, made, owners, num, den)
+        labels = relabelled(labels, materialise(links, "links"))
     free_shuffles(spark)
     return each.select("id", "text_hash", "node", "size"), labels
 
