@@ -29,7 +29,10 @@ from marquee.llm.partenum import GOLD, LOWER, WordHashes, mix
 
 SHINGLE, HASHES, LEAST_WORDS = 5, 5, 50
 SIMILARITY = 0.8
-SEND_BYTES = 48 << 20
+#: Bytes of rows that a map task holds before it sends them (sorting and packing takes about
+#: four times as many, 40 MB a worker), texts whose keys it remembers, and bytes of text for
+#: each owner of keys.
+SEND_BYTES, SEEN, OWNER_BYTES = 8 << 20, 200_000, 8 << 20
 BROADCAST_ROWS = 500_000
 
 #: Common bits of the 22 elements on one side that rows of a key need to be compared, by either
@@ -230,7 +233,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, ha
                 words.append(k)
                 if len(s) < least or node in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) >= SEEN:
                     seen = set()
                 seen.add(node)
                 key, place, bits = window_keys(s, least, hashes)
@@ -320,18 +323,33 @@ def _other_links(rows: DataFrame, failed: DataFrame, owners: int) -> DataFrame:
 
 
 def _around(match: np.ndarray, c: int, similarity: float, widest: bool = False) -> tuple[int, int]:
-    """The interval around c whose matches outweigh its other elements most; or the widest
-    in which they do at all, ends without a match cut off."""
+    """The interval around c whose matches outweigh its other elements most; or the widest in
+    which they do at all."""
     share = 2 * similarity / (1 + similarity)
     gain = np.where(match, 1.0, -share / (1 - share))
     left, right = np.cumsum(gain[: c + 1][::-1]), np.cumsum(gain[c:]) - gain[c]
     if not widest:
         return c - int(np.argmax(left)), c + int(np.argmax(right))
-    back = np.flatnonzero(left + right.max() >= 0)
-    i = int(back[-1]) if len(back) else 0
-    j = int(np.flatnonzero(left[i] + right >= 0)[-1]) if len(back) else 0
-    inside = c - i + np.flatnonzero(match[c - i : c + j + 1])
-    return (int(inside[0]), int(inside[-1])) if len(inside) else (c, c)
+    # For every left end, the last right end that still balances it: by the greatest weight
+    # from each right end on, which falls towards the end of the text.
+    most = np.maximum.accumulate(right[::-1])
+    j = len(right) - 1 - np.searchsorted(most, -left - 1e-9)
+    width = np.where(j >= 0, np.arange(len(left)) + j, -1)
+    k = int(np.argmax(width))
+    return (c - k, c + int(j[k])) if width[k] >= 0 else (c, c)
+
+
+def _cut(match: np.ndarray, i: int, j: int) -> tuple[int, int]:
+    """The interval without what does not match at its ends."""
+    inside = np.flatnonzero(match[i : j + 1])
+    return (i + int(inside[0]), i + int(inside[-1])) if len(inside) else (i, j)
+
+
+def _padded(i: int, j: int, n: int, least: int) -> tuple[int, int]:
+    """The interval, of `least` elements at least where the n elements allow it: a passage may
+    be edited at its very ends."""
+    i = max(0, min(i, j + 1 - least))
+    return i, min(n - 1, max(j, i + least - 1))
 
 
 def _run(x: np.ndarray, y: np.ndarray) -> int:
@@ -347,16 +365,23 @@ def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similari
     for cx, cy in places:
         if any(i <= cx <= j and k <= cy <= m for i, j, k, m, _ in out):
             continue
-        # The heaviest interval, else the widest, else the run of equal elements. The widest
-        # holds the others: where it is too short, so are they.
+        # The widest interval holds all others: where it is too short, so are they.
         i, j = _around(in_x, cx, similarity, True)
         if j - i + 1 < least:
             continue
-        wide = (i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity, True))
-        if wide[3] - wide[2] + 1 < least:
+        in_y = np.isin(y, x[i : j + 1])
+        k, m = _around(in_y, cy, similarity, True)
+        if m - k + 1 < least:
             continue
-        i, j = _around(in_x, cx, similarity)
-        tries = [(i, j, *_around(np.isin(y, x[i : j + 1]), cy, similarity)), wide]
+        # The heaviest interval, else the widest between matches, else the same against what the
+        # other text's interval has, each padded to the least length; else all of the widest.
+        core = (*_cut(in_x, i, j), *_cut(in_y, k, m))
+        again = np.isin(x, y[core[2] : core[3] + 1])
+        tight = (*_cut(again, *_around(again, cx, similarity, True)), core[2], core[3])
+        a, b = _around(in_x, cx, similarity)
+        heavy = (a, b, *_around(np.isin(y, x[a : b + 1]), cy, similarity))
+        tries = [(*_padded(*t[:2], len(x), least), *_padded(*t[2:], len(y), least)) for t in (heavy, core, tight)]
+        tries.append((i, j, k, m))
         back = _run(x[: cx + 1][::-1], y[: cy + 1][::-1])
         ahead = _run(x[cx:], y[cy:])
         for i, j, k, m in (*tries, (cx - back + 1, cx + ahead - 1, cy - back + 1, cy + ahead - 1)):
@@ -384,7 +409,8 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
     A-Z lowered."""
     spark = docs.sparkSession
     least = words - shingle + 1
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES), 1)
     rows = materialise(_owned(_windows(docs, id_col, text_col, shingle, least, hashes, owners), owners), "windows")
     free_shuffles(spark)
     each = rows.where(F.col("node").isNotNull()).select("id", "text_hash", "node", "words")

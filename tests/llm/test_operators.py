@@ -488,6 +488,34 @@ def test_least_places_are_those_of_compact_windows():
         assert passages.least_places(h, least).tolist() == sorted(c for _, c, _ in passages.compact_windows(h, least))
 
 
+def test_near_passages_are_found():
+    """Random texts of 200 words that share a passage with edited words, of Jaccard similarity
+    0.8 or more: found in nine of ten cases at least."""
+    memo, r = partenum.WordHashes(), random.Random(4)
+    for length, edits in ((50, 1), (60, 2)):
+        found = cases = 0
+        while cases < 120:
+            w = [f"p{r.randrange(10**9)}" for _ in range(length)]
+            v = list(w)
+            for k in r.sample(range(length), edits):
+                v[k] = f"e{r.randrange(10**9)}"
+            both = [passages.sequence(" ".join(t).encode(), 5, memo)[0] for t in (w, v)]
+            same = len(np.intersect1d(*both))
+            if same / (len(both[0]) + len(both[1]) - same) < 0.8:
+                continue
+            cases += 1
+            around = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+            at, to = r.randrange(150), r.randrange(150)
+            x, y = (passages.sequence(" ".join(around(n) + t + around(150 - n)).encode(), 5, memo)[0] for n, t in ((at, w), (to, v)))
+            kx, px, _ = passages.window_keys(x, 46, passages.HASHES)
+            ky, py, _ = passages.window_keys(y, 46, passages.HASHES)
+            places = [(int(a), int(b)) for k, a in zip(kx, px, strict=True) for q, b in zip(ky, py, strict=True) if k == q]
+            out = passages.similar_intervals(x, y, places, 46, 0.8)
+            assert all(j - i + 1 >= 46 and m - k + 1 >= 46 and s >= 0.8 for i, j, k, m, s in out)
+            found += bool(out)
+        assert found >= 0.9 * cases, (length, edits, found, cases)
+
+
 # 10
 
 
