@@ -299,7 +299,7 @@ query("smp_2_recommend_one")(lambda v: _popularity(v).recommend_one())
 query("smp_3_row_sample")(lambda v: M.sample(v.ratings.select("_row_id", "rating"), ["_row_id"], 300))
 query("spl_1_stratified_by_user", "SELECT userID, count(*) AS n, cast(ceil(count(*) * 0.2) AS bigint) AS held_out FROM ratings GROUP BY userID")(lambda v: M.stratified_split(v.ratings, "userID", ["_row_id"]).groupBy("userID").agg(F.count("*").alias("n"), F.count_if("held_out").alias("held_out")))
 query("spl_3_stratified_labels", "SELECT label, count(*) AS n, cast(ceil(count(*) * 0.2) AS bigint) AS held_out FROM embeddings GROUP BY label")(lambda v: M.stratified_split(v.embeddings, "label", ["vec_id"]).groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("held_out")))
-query("set_1_union", "SELECT 'r' AS kind, userID FROM ratings WHERE movieID < 20 UNION ALL SELECT 't', userID FROM tag_events WHERE movieID < 20")(lambda v: v.ratings.where("movieID < 20").select(F.lit("r").alias("kind"), "userID").unionByName(v.tag_events.where("movieID < 20").select(F.lit("t").alias("kind"), "userID")))
+query("set_1_union", "SELECT 'r' AS kind, userID FROM ratings UNION ALL SELECT 't', userID FROM tag_events")(lambda v: v.ratings.select(F.lit("r").alias("kind"), "userID").unionByName(v.tag_events.select(F.lit("t").alias("kind"), "userID")))
 query("set_2_distinct", "SELECT movieID, arg_min(actorID, ranking * 100000 + actorID) AS actorID FROM actors GROUP BY movieID")(lambda v: v.actors.groupBy("movieID").agg(F.min_by("actorID", F.col("ranking") * 100000 + F.col("actorID")).alias("actorID")))
 query("set_3_algebra", "SELECT userID FROM ratings EXCEPT SELECT userID FROM tag_events")(lambda v: v.ratings.select("userID").subtract(v.tag_events.select("userID")))
 query("set_4_accumulate", "SELECT count(DISTINCT movieID) AS n FROM ratings WHERE rating >= 4.5")(lambda v: v.ratings.where("rating >= 4.5").agg(F.count_distinct("movieID").alias("n")))
@@ -314,8 +314,8 @@ query("str_12_tokenise", "SELECT movieID, len(regexp_extract_all(lower(text), '[
 query("dat_scalars", "SELECT event_id, make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), floor(second(ts))) AS t, cast(floor(date_diff('microsecond', ts, timestamp '2024-02-01 12:00:00') / 86400000000) AS bigint) AS days, year(ts) AS year, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events")(
     lambda v: v.events.select("event_id", F.try_make_timestamp(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.minute("ts"), F.second("ts")).alias("t"), S.elapsed_days(F.col("ts"), F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("days"), F.year("ts").alias("year"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("text"))
 )
-query("mat_scalars", "SELECT event_id, round(ln(1 + value), 6) AS m1, round(sqrt(abs(value)), 6) AS m2, round(value, 3) AS m3, round_even(value * 2, 0) / 2 AS m4, value % 2 <> 0 AS m5, least(greatest(value, 5), 50) AS m6, round(coalesce(100.0 * value / nullif(event_id % 3, 0), 0), 6) AS m7 FROM events WHERE value >= 0")(
-    lambda v: v.events.where("value >= 0").select("event_id", F.log1p("value").alias("m1"), F.sqrt(F.abs("value")).alias("m2"), F.round("value", 3).alias("m3"), S.half_star(F.col("value")).alias("m4"), (F.col("value") % 2 != 0).alias("m5"), S.clip(F.col("value"), 5, 50).alias("m6"), S.share(F.col("value"), F.col("event_id") % 3).alias("m7"))
+query("mat_scalars", "SELECT event_id, round(CASE WHEN value > -1 THEN ln(1 + value) END, 6) AS m1, round(sqrt(abs(value)), 6) AS m2, round(value, 3) AS m3, round_even(value * 2, 0) / 2 AS m4, value % 2 <> 0 AS m5, least(greatest(value, 5), 50) AS m6, round(coalesce(100.0 * value / nullif(event_id % 3, 0), 0), 6) AS m7 FROM events")(
+    lambda v: v.events.select("event_id", F.log1p("value").alias("m1"), F.sqrt(F.abs("value")).alias("m2"), F.round("value", 3).alias("m3"), S.half_star(F.col("value")).alias("m4"), (F.col("value") % 2 != 0).alias("m5"), S.clip(F.col("value"), 5, 50).alias("m6"), S.share(F.col("value"), F.col("event_id") % 3).alias("m7"))
 )
 query("cnd_1_conditions", "SELECT movieID, CASE WHEN year > 1990 THEN 'new' ELSE 'old' END AS age, cast(year > 1990 AS int) AS flag FROM items")(lambda v: v.items.select("movieID", F.when(F.col("year") > 1990, "new").otherwise("old").alias("age"), (F.col("year") > 1990).cast("int").alias("flag")))
 query("vec_scalars", "SELECT a.vec_id, round(list_dot_product(a.embedding::double[], q.embedding::double[]), 6) AS dot, round(sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])), 6) AS norm, round(a.embedding[1]::double * q.embedding[1]::double, 6) AS first, list_position(a.embedding, list_max(a.embedding)) AS best FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")(
@@ -412,20 +412,21 @@ query("cb_2_tfidf", TFIDF_SQL)(lambda v: C.tfidf(v.texts, "movieID", "text", pat
 query("cb_4_title_index", "SELECT title, min(_row_id) AS _row_id FROM items GROUP BY title")(lambda v: C.title_index(v.items).select("title", "_row_id"))
 SIM_SQL = "SELECT movieID, round(s, 4) AS similarity, row_number() OVER (ORDER BY s DESC, movieID) AS rank FROM (SELECT movieID, list_dot_product(embedding::double[], (SELECT embedding::double[] FROM vectors WHERE movieID = 5)) AS s FROM vectors WHERE movieID <> 5) x ORDER BY s DESC, movieID LIMIT 10"
 query("cb_5_similar_items", SIM_SQL)(lambda v: C.similar(v.vectors, 5))
-PROFILE = """ v AS (SELECT movieID, unnest(range(1, 65)) AS i, unnest(embedding::double[]) AS e FROM vectors), us AS (SELECT userID FROM {liked} GROUP BY userID ORDER BY userID LIMIT 8),
+PROFILE = """ v AS (SELECT movieID, unnest(range(1, 65)) AS i, unnest(embedding::double[]) AS e FROM vectors), us AS (SELECT userID FROM {liked} WHERE userID % 20 = 0 GROUP BY userID),
 lk AS (SELECT userID, movieID FROM {liked} SEMI JOIN us USING (userID) SEMI JOIN vectors USING (movieID)),
 m AS (SELECT userID, i, avg(e) AS m FROM lk JOIN v USING (movieID) GROUP BY userID, i), l AS (SELECT userID, sqrt(sum(m * m)) AS l FROM m GROUP BY userID),
 sc AS (SELECT m.userID, v.movieID, sum(m.m / greatest(l.l, 1e-9) * v.e) AS score FROM m JOIN l USING (userID) JOIN v USING (i) GROUP BY m.userID, v.movieID)"""
 
 
 def _users(v: Domain) -> DataFrame:
-    return v.ratings.where("rating >= 4").select("userID").distinct().orderBy("userID").limit(8)
+    """The stated query set of the searches for users: ids divisible by 20, against all items."""
+    return v.ratings.where("rating >= 4 AND userID % 20 = 0").select("userID").distinct()
 
 
 query("cb_6_profile_recommendations", "WITH lk0 AS (SELECT * FROM ratings WHERE rating >= 4)," + PROFILE.format(liked="lk0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY userID ORDER BY score DESC, movieID) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.userID = sc.userID AND x.movieID = sc.movieID)) SELECT userID, movieID, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")(lambda v: C.profile_recommendations(v.ratings, v.vectors, _users(v)))
 query("ev_2_catalog_coverage", "WITH lk0 AS (SELECT * FROM ratings WHERE rating >= 4)," + PROFILE.format(liked="lk0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY userID ORDER BY score DESC, movieID) AS rank FROM sc) SELECT count(DISTINCT movieID) AS recommended, (SELECT count(*) FROM vectors) AS items, round(count(DISTINCT movieID) / (SELECT count(*) FROM vectors), 6) AS coverage FROM r WHERE rank <= 10""")(lambda v: C.catalog_coverage(v.ratings, v.vectors, _users(v)))
 EV1 = """WITH l0 AS (SELECT userID, movieID, ts, _row_id FROM ratings SEMI JOIN vectors USING (movieID) WHERE rating >= 4), s AS (SELECT *, row_number() OVER (PARTITION BY userID ORDER BY ts, _row_id) AS k, count(*) OVER (PARTITION BY userID) AS n FROM l0),
-us0 AS (SELECT DISTINCT userID FROM ratings WHERE rating >= 4 ORDER BY userID LIMIT 8), sp AS (SELECT *, k > n - greatest(1, floor(n * 0.2)) AS held FROM s SEMI JOIN us0 USING (userID) WHERE n >= 5), tr0 AS (SELECT userID, movieID FROM sp WHERE NOT held),""" + PROFILE.format(liked="tr0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY userID ORDER BY score DESC, movieID) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM tr0 x WHERE x.userID = sc.userID AND x.movieID = sc.movieID)),
+us0 AS (SELECT DISTINCT userID FROM ratings WHERE rating >= 4 AND userID % 20 = 0), sp AS (SELECT *, k > n - greatest(1, floor(n * 0.2)) AS held FROM s SEMI JOIN us0 USING (userID) WHERE n >= 5), tr0 AS (SELECT userID, movieID FROM sp WHERE NOT held),""" + PROFILE.format(liked="tr0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY userID ORDER BY score DESC, movieID) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM tr0 x WHERE x.userID = sc.userID AND x.movieID = sc.movieID)),
 h AS (SELECT userID, count(*) AS hits FROM r SEMI JOIN (SELECT userID, movieID FROM sp WHERE held) t USING (userID, movieID) WHERE rank <= 10 GROUP BY userID), pr AS (SELECT DISTINCT sp.userID, coalesce(hits, 0) / 10.0 AS precision FROM sp LEFT JOIN h ON sp.userID = h.userID) """
 query("ev_1_precision_at_k", EV1 + 'SELECT userID, round(precision, 6) AS "precision" FROM pr')(lambda v: C.precision_at_k(v.ratings, v.vectors, _users(v), order=("ts", "_row_id")))
 query("ev_4_precision_summary", EV1 + "SELECT round(avg(precision), 6) AS mean, round(stddev_pop(precision), 6) AS std, count(*) AS users FROM pr")(lambda v: C.precision_summary(C.precision_at_k(v.ratings, v.vectors, _users(v), order=("ts", "_row_id"))))
