@@ -205,28 +205,35 @@ class Restaurants:
         start = (np.arange(len(of)) - np.repeat(np.cumsum(sections) - sections, sections)) * SECTION
         length = np.minimum(self.n[of] - start, SECTION)
         order = np.argsort(-length, kind="stable")
-        self.of, self.start, self.length = of[order], start[order], length[order]
+        self.of, self.length = of[order], length[order]
+        # By section, in the order of the steps, of which each takes a leading part.
+        self.base, self.count = self.off[self.of], self.n[self.of]
+        self.first = self.base + start[order]
+        self.whole, self.last = self.count // SECTION, self.count % SECTION
         self.total = np.bincount(room, self.tables, rooms)
 
     def sweep(self, parent: np.ndarray) -> None:
         """Every customer sits down anew; parent: the parent's probability by dish."""
         d, theta, rng = self.d, self.theta, self.rng
-        room, p = self.room[self.dish], parent[self.dish]
+        room = self.room[self.dish]
+        rooms, probability = room[self.of], parent[self.dish][self.of]
+        shortest = -self.length
         for i in range(int(self.length[0]) if len(self.length) else 0):
-            of = self.of[: int(np.searchsorted(-self.length, -i, "left"))]
-            o, n, r = self.off[of], self.n[of], room[of]
-            at = o + self.start[: len(of)] + i
+            m = int(np.searchsorted(shortest, -i, "left"))
+            of, o, n, r = self.of[:m], self.base[:m], self.count[:m], rooms[:m]
+            at = self.first[:m] + i
             k = self.z[at]
-            np.subtract.at(self.size, o + k, 1)
+            table = o + k
+            np.subtract.at(self.size, table, 1)
             self.z[at] = -1
-            g = np.flatnonzero(self.size[o + k] == 0)
-            slot, first = np.unique((o + k)[g], return_index=True)
+            g = np.flatnonzero(self.size[table] == 0)
+            slot, first = np.unique(table[g], return_index=True)
             g = of[g[first]]
             np.subtract.at(self.nt, g, 1)
             np.subtract.at(self.total, room[g], 1)
             self.free[self.off[g] + self.nt[g] + _rank(g)] = slot - self.off[g]
-            moved = np.bincount(of, minlength=len(self.n))[of]
-            fresh = (theta + d * self.total[r]) * p[of]
+            moved = self.whole[:m] + (self.last[:m] > i)
+            fresh = (theta + d * self.total[r]) * probability[:m]
             old = n - moved - d * self.nt[of]
             new = rng.random(len(of)) * (fresh + old) < fresh
             todo = np.flatnonzero(~new)
