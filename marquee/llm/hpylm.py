@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ FLUSH_TOKENS, FLUSH_WORDS, FLUSH_DOCS = 1_500_000, 1 << 19, 1 << 15
 #: Words are told apart by 64 bits as contexts, and by the upper WORD_BITS behind one.
 WORD_BITS = 40
 BEGIN, END = np.uint64(1), np.uint64(2)
+#: Of the type of the counts it is added to: else the sum goes by a slow way.
+ONE = np.int32(1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -74,17 +78,16 @@ def gaps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.zeros(1, a.dtype))
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 2
-        return n
+def _ids() -> defaultdict:
+    """Words to numbers from 2 on, in the order they are asked for."""
+    return defaultdict(count(2).__next__)
 
 
 def _pairs_out(owners: int):
     """For mapInArrow: (key, id, held, text) to (owner, src, packed). A token's context is the
     token before it; the first one's is the text's begin."""
 
-    def flush(ids: _Ids, tokens: list, docs: list) -> Iterator[pa.RecordBatch]:
+    def flush(ids: dict, tokens: list, docs: list) -> Iterator[pa.RecordBatch]:
         # Ids 0 and 1 are the text's begin and end.
         keys = np.array([BEGIN, END, *map(xxhash.xxh3_64_intdigest, ids)], np.uint64)
         sizes = np.array([len(t) for t in tokens])
@@ -93,36 +96,42 @@ def _pairs_out(owners: int):
         u = np.concatenate((np.zeros(1, w.dtype), w[:-1]))
         u[ends[:-1]] = 0
         doc = np.repeat(np.arange(len(tokens)), sizes)
-        rank = np.argsort(keys)
-        place = np.empty(len(keys), np.int64)
-        place[rank] = np.arange(len(keys))
         n = len(keys)
-        code, count = np.unique((place[u] * n + place[w]) * len(tokens) + doc, return_counts=True)
-        pair, doc = code // len(tokens), (code % len(tokens)).astype(np.uint32)
-        new = np.concatenate(([True], pair[1:] != pair[:-1]))
-        pair_at = np.flatnonzero(new)
-        pu, pw = pair[pair_at] // n, pair[pair_at] % n
-        keys = keys[rank]
-        owner = (mix(keys[pu]) % np.uint64(owners)).astype(np.int64)
-        of_pair = np.cumsum(new) - 1
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-        occ_owner = np.argsort(owner[of_pair], kind="stable")
-        occ_cuts = np.searchsorted(owner[of_pair][occ_owner], np.arange(owners + 1))
+        # Contexts by owner and key, words by key: one sort of all brings each owner's pairs,
+        # and each pair's documents, together.
+        owner = (mix(keys) % np.uint64(owners)).astype(np.int64)
+        by_key = np.argsort(keys)
+        by_owner = by_key[np.argsort(owner[by_key], kind="stable")]
+        u_place, w_place = np.empty(n, np.int64), np.empty(n, np.int64)
+        u_place[by_owner] = w_place[by_key] = np.arange(n)
+        code, times = np.unique((u_place[u] * n + w_place[w]) * len(tokens) + doc, return_counts=True)
+        pair = code // len(tokens)
+        doc, times = code - pair * len(tokens), times.astype(np.uint32)
+        pair_at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        pair = pair[pair_at]
+        per_pair = np.diff(pair_at, append=len(code)).astype(np.uint32)
+        pu = pair // n
+        words = keys[by_key][pair - pu * n] >> np.uint64(64 - WORD_BITS)
+        cuts = np.searchsorted(owner[by_owner][pu], np.arange(owners + 1))
+        occ_cuts = np.append(pair_at, len(code))[cuts]
+        contexts = keys[by_owner]
+        at = np.empty(len(tokens), np.uint32)
         dk, di, dh = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), (np.int64, np.int64, np.uint8), strict=True))
         for o in range(owners):
-            mine = order[cuts[o] : cuts[o + 1]]
-            occ = occ_owner[occ_cuts[o] : occ_cuts[o + 1]]
-            if not len(mine):
+            mine, occ = slice(*cuts[o : o + 2]), slice(*occ_cuts[o : o + 2])
+            us = pu[mine]
+            if not len(us):
                 continue
-            us, ui = np.unique(keys[pu[mine]], return_inverse=True)
-            per_pair = np.bincount(np.searchsorted(mine, of_pair[occ]), minlength=len(mine)).astype(np.uint32)
-            some, at = np.unique(doc[occ], return_inverse=True)
-            b = pack(gaps(us), np.bincount(ui, minlength=len(us)).astype(np.uint32), keys[pw[mine]] >> np.uint64(64 - WORD_BITS), per_pair, at.astype(np.uint32), count[occ].astype(np.uint32), gaps(dk[some]), gaps(di[some]), dh[some])
+            first = np.flatnonzero(np.concatenate(([True], us[1:] != us[:-1])))
+            has = np.zeros(len(tokens), bool)
+            has[doc[occ]] = True
+            some = np.flatnonzero(has)
+            at[some] = np.arange(len(some))
+            b = pack(gaps(contexts[us[first]]), np.diff(first, append=len(us)).astype(np.uint32), words[mine], per_pair[mine], at[doc[occ]], times[occ], gaps(dk[some]), gaps(di[some]), dh[some])
             yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([int(dk[0])], pa.int64()), pa.array([b], pa.binary())], names=["owner", "src", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens, docs, n = _Ids(), [], [], 0
+        ids, tokens, docs, n = _ids(), [], [], 0
         for b in batches:
             for key, i, held, text in zip(*(b.column(k) for k in range(4)), strict=True):
                 words = (text.as_py() or b"").translate(LOWER).split()
@@ -133,7 +142,7 @@ def _pairs_out(owners: int):
                 n += len(words) + 1
                 if n > FLUSH_TOKENS or len(ids) > FLUSH_WORDS or len(docs) >= FLUSH_DOCS:
                     yield from flush(ids, tokens, docs)
-                    ids, tokens, docs, n = _Ids(), [], [], 0
+                    ids, tokens, docs, n = _ids(), [], [], 0
         if docs:
             yield from flush(ids, tokens, docs)
 
@@ -152,32 +161,39 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.setdefault(o, []).append((src, p.as_py()))
     for o, parts in held.items():
         parts.sort()
-        us, ws, occ_n, occ_doc, occ_count, docs, base = [], [], [], [], [], [], 0
+        us, un_, ws, occ_n, occ_doc, occ_count, docs, base = [], [], [], [], [], [], [], 0
         for src, p in parts:
             ug, un, w, per, doc, n, dk, di, dh = unpack(p)
-            us.append(np.repeat(np.cumsum(ug, dtype=np.uint64), un))
+            us.append(np.cumsum(ug, dtype=np.uint64))
+            un_.append(un)
             ws.append(w)
             occ_n.append(per)
             occ_doc.append(doc.astype(np.int64) + base)
             occ_count.append(n)
             docs.append((np.full(len(dk), src, np.int64), np.cumsum(dk), np.cumsum(di), dh))
             base += len(dk)
-        u, w, per, doc, n = (np.concatenate(x) for x in (us, ws, occ_n, occ_doc, occ_count))
+        u, un, w, per, doc, n = (np.concatenate(x) for x in (us, un_, ws, occ_n, occ_doc, occ_count))
         src, dk, di, dh = (np.concatenate(x) for x in zip(*docs, strict=True))
-        order = np.lexsort((w, u))
-        new = np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])))
-        number = np.empty(len(u), np.int64)
-        number[order] = np.cumsum(new) - 1
-        u, w = u[order][new], w[order][new]
+        contexts, ui = np.unique(u, return_inverse=True)
+        ui = np.repeat(ui, un)
+        if len(contexts) < 1 << (64 - WORD_BITS):
+            code, number = np.unique(ui.astype(np.uint64) << np.uint64(WORD_BITS) | w, return_inverse=True)
+            ui, w = (code >> np.uint64(WORD_BITS)).astype(np.int64), code & np.uint64((1 << WORD_BITS) - 1)
+        else:
+            order = np.lexsort((w, ui))
+            ui, w = ui[order], w[order]
+            new = np.concatenate(([True], (ui[1:] != ui[:-1]) | (w[1:] != w[:-1])))
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+            ui, w = ui[new], w[new]
         pair = np.repeat(number, per)
         train = (dh[doc] & 1) == 0
-        c = np.bincount(pair[train], n[train], len(u)).astype(np.int64)
-        contexts, ui = np.unique(u, return_inverse=True)
+        c = np.bincount(pair[train], n[train], len(w)).astype(np.int64)
         cu = np.bincount(ui, c, len(contexts)).astype(np.int64)
         real = contexts != BEGIN
         by = np.argsort(pair, kind="stable")
         state = pack(gaps(contexts), np.bincount(ui, minlength=len(contexts)).astype(np.uint32), w, c.astype(np.uint32))
-        occurrences = pack(np.bincount(pair, minlength=len(u)).astype(np.uint32), doc[by].astype(np.uint32), n[by], gaps(src), gaps(dk), gaps(di), dh)
+        occurrences = pack(np.bincount(pair, minlength=len(w)).astype(np.uint32), doc[by].astype(np.uint32), n[by], gaps(src), gaps(dk), gaps(di), dh)
         nums = [int(cu[real].sum()), int((cu[real] > 0).sum()), int((c == 1).sum()), int((c == 2).sum()), int((c > 0).sum()), int(cu[~real].sum())]
         yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([state], pa.binary()), pa.array([occurrences], pa.binary()), *(pa.array([x], pa.int64()) for x in nums)], names=["owner", "packed", "occurrences", "train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"])
 
@@ -224,7 +240,7 @@ class Restaurants:
             at = self.first[:m] + i
             k = self.z[at]
             table = o + k
-            np.subtract.at(self.size, table, 1)
+            np.subtract.at(self.size, table, ONE)
             self.z[at] = -1
             g = np.flatnonzero(self.size[table] == 0)
             slot, first = np.unique(table[g], return_index=True)
@@ -250,7 +266,7 @@ class Restaurants:
             np.add.at(self.nt, x, 1)
             np.add.at(self.total, room[x], 1)
             self.z[at] = k
-            np.add.at(self.size, o + k, 1)
+            np.add.at(self.size, o + k, ONE)
         self.tables[self.dish] = self.nt
 
 
