@@ -8,13 +8,15 @@ the same under every hash function, near ones under most, wherever words were pu
 out. With it go bits of the 22 elements on either side.
 
 Equal keys meet at the key's owner. Each row is compared with the first of its key, if their
-bits allow a passage; then the rows that this does not join to it are compared with all others
-of the key, likewise. The widest intervals around the joined elements that are similar enough
+bits allow a passage; of the rows that this does not join to it, each with the first of them,
+and so on for TURNS turns. Then all pairs of a key that share no such first row and have not
+met are compared, likewise. The widest intervals around the joined elements that are similar enough
 are the passages.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -41,6 +43,8 @@ BROADCAST_ROWS = 500_000
 COMMON_BITS, REST_BITS = 9, 11
 #: Rows of a key that are compared by blocks of so many pairs.
 LARGE, BLOCK_PAIRS = 64, 500_000
+#: Turns in which rows of a key seek a first row to join.
+TURNS = 4
 
 SCHEMA = pa.schema([("owner", pa.int32()), *((c, pa.int64()) for c in ("id", "text_hash", "node", "words")), ("packed", pa.binary())])
 ROWS = "owner int, id long, text_hash long, node long, words long, packed binary"
@@ -144,21 +148,41 @@ def _leads(key):
     return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
-def _star(key, node, bits):
-    """Which rows are compared with the first of their key."""
-    lead = _leads(key)
-    return lead, (node != node[lead]) & _may_link(bits, np.arange(len(key)), lead, COMMON_BITS)
-
-
-def _rest(key, node, bits, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a key that may link, but for those with its first row and those of two
-    rows whose links to it hold. Large groups go by blocks, the others all at once."""
-    lead = _leads(key)
+def _turn(key, node, bits, seat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first row without a seat of every key, its hub; and which other rows without one are
+    compared with which hub."""
+    lead, free = _leads(key), np.flatnonzero(seat < 0)
+    hub = np.full(len(key), -1)
+    hub[lead[free][::-1]] = free[::-1]
+    at = hub[lead[free]]
+    ok = node[free] != node[at]
+    p, at = free[ok], at[ok]
+    ok = _may_link(bits, p, at, COMMON_BITS)
+    return hub[hub >= 0], p[ok], at[ok]
+
+
+def _seats(key, node, place, bits, lost: list[set]) -> tuple[np.ndarray, np.ndarray]:
+    """The hub that holds each row, or -1, and the turn in which it did. lost: for each turn the
+    key, node and place of the rows whose link to their hub failed."""
+    seat, turn = np.full(len(key), -1), np.full(len(key), len(lost))
+    for t, gone in enumerate(lost):
+        hubs, p, at = _turn(key, node, bits, seat)
+        ok = np.array([x not in gone for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)], bool)
+        seat[p[ok]], turn[p[ok]] = at[ok], t
+        seat[hubs], turn[hubs] = hubs, t
+    return seat, turn
+
+
+def _rest(key, node, bits, seat, turn) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a key that may link, but for those of one hub and those that a hub has
+    been compared with. Large groups go by blocks, the others all at once."""
+    lead, hub = _leads(key), seat == np.arange(len(key))
     size = np.bincount(lead, minlength=len(key))
     before, behind = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
 
     def fit(p, q):
-        ok = ~(settled[p] & settled[q]) & (node[p] != node[q])
+        done = (seat[p] == seat[q]) & (seat[p] >= 0) | hub[p] & (turn[q] >= turn[p]) | hub[q] & (turn[p] >= turn[q])
+        ok = ~done & (node[p] != node[q])
         p, q = p[ok], q[ok]
         ok = _may_link(bits, p, q, REST_BITS)
         return p[ok], q[ok]
@@ -285,40 +309,40 @@ def _owned(rows: DataFrame, owners: int) -> DataFrame:
                 continue
             one = pa.nulls(1, pa.int64())
             yield wide(pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), one, one, one, one, pa.array([_pack(key, node, place, bits)], pa.binary())], schema=SCHEMA))
-            lead, star = _star(key, node, bits)
-            p = np.flatnonzero(star)
-            for x in _link_rows(key, node, place, p, lead[p]):
+            _, p, hub = _turn(key, node, bits, np.full(len(key), -1))
+            for x in _link_rows(key, node, place, p, hub):
                 yield wide(x)
 
     return rows.repartition(owners, "owner").mapInArrow(run, OWNED)
 
 
-def _other_links(rows: DataFrame, failed: DataFrame, owners: int) -> DataFrame:
-    """Links of the rows that the first row of their key does not hold with all others of the
-    key. failed: the owner, key, node and place of those whose link to it failed."""
+def _other_links(rows: DataFrame, failed: DataFrame, owners: int, turns: int) -> DataFrame:
+    """Links of the next turn, or, after the last, of all pairs of a key that are left. failed:
+    the owner, key, node and place of the rows whose link to their hub failed, and in which of
+    the turns so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        lost: dict[int, set] = {}
+        lost: dict[int, list] = {}
         for b in batches:
-            for o, p, key, a, ca in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for o, p, key, a, ca, t in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if p is None:
-                    lost.setdefault(o, set()).add((key, a, ca))
+                    lost.setdefault(o, [set() for _ in range(turns)])[t].add((key, a, ca))
                 else:
                     held.setdefault(o, []).append(p)
         for owner, parts in held.items():
             key, node, place, bits = _grouped(parts)
-            _, settled = _star(key, node, bits)
-            gone = lost.get(owner, ())
-            if gone:
-                p = np.flatnonzero(settled)
-                settled[p] = [x not in gone for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)]
-            for p, q in _rest(key, node, bits, settled):
+            seat, turn = _seats(key, node, place, bits, lost.get(owner, [()] * turns))
+            if turns < TURNS:
+                _, p, hub = _turn(key, node, bits, seat)
+                yield from _link_rows(key, node, place, p, hub)
+                continue
+            for p, q in _rest(key, node, bits, seat, turn):
                 yield from _link_rows(key, node, place, q, p)
 
     none = F.lit(None).cast("long")
-    sent = rows.where(F.col("packed").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"))
-    sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca"))
+    sent = rows.where(F.col("packed").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"), F.lit(None).cast("int").alias("turn"))
+    sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca", "turn"))
     return sent.repartition(owners, "owner").mapInArrow(run, LINKS)
 
 
@@ -400,9 +424,9 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
 
     Rows: doc_id, start_word, end_word (exclusive), other_id, other_start, other_end, jaccard
     (of the passages' distinct shingles, at least `similarity`), and kind. kind 'passage'
-    joins representatives of texts: each text is joined to the first text of every key, or, if
-    they have no passage there, to all of the key with which it has one. So n texts of a
-    passage give about n rows. kind
+    joins representatives of texts: each text is joined to a first text of every key with which
+    it has a passage there, and to all texts of the key with which it has one, but for those
+    with the same first text. So n texts of a passage give about n rows. kind
     'copy' joins a document to the least id of those with the same words. Documents without
     a repeated passage have no row; null and shorter texts have none. Rows that repeat an id
     count as documents; other columns are not read. Words stand between ASCII white space,
@@ -433,7 +457,7 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         texts = texts.join(want_, F.col("id").eqNullSafe(F.col("rid")) & (F.xxhash64("text") == F.col("rhash")))
         return materialise(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sequences, "node long, elements binary"), "passage-sequences")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         for t in batches:
             out = []
             for a, b, places, x, y in zip(*(t.column(k) for k in range(5)), strict=True):
@@ -441,13 +465,15 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
                 a, b = a.as_py(), b.as_py()
                 found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), [p[:2] for p in at], least, similarity)
                 out += [(a, b, i, j + shingle, k, m + shingle, s, None, None, None) for i, j, k, m, s in found]
+                if last:
+                    continue
                 # What no passage holds has failed: its owner, key and place.
                 out += [(a, b, None, None, None, None, None, (key & (1 << 64) - 1) % owners, key, ca) for ca, cb, key in at if not any(i <= ca <= j and k <= cb <= m for i, j, k, m, _ in found)]
             cols = list(zip(*out, strict=True)) or [()] * 10
             kinds = [pa.int64()] * 6 + [pa.float64(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "sa", "ea", "sb", "eb", "jaccard", "owner", "key", "ca"])
 
-    def verified(links: DataFrame) -> DataFrame:
+    def verified(links: DataFrame, last: bool) -> DataFrame:
         pairs = materialise(links.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ca", "cb", "key"))).alias("places")), "passage-links")
         free_shuffles(spark)
         seqs = sequences_of(pairs)
@@ -458,7 +484,7 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         for turn in range(turns):
             some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
             both = some.join(x, "a").join(y, "b").select("a", "b", "places", "xa", "xb")
-            part = materialise(both.mapInArrow(verify, "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
+            part = materialise(both.mapInArrow(lambda b: verify(b, last), "a long, b long, sa long, ea long, sb long, eb long, jaccard double, owner int, key long, ca int"), "passage-verified")
             done = part if done is None else done.union(part)
             free_shuffles(spark)
         drop_path(spark, pairs.scratch)
@@ -466,9 +492,14 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         free_shuffles(spark)
         return done
 
-    stars = verified(rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb", "key"))
-    rest = verified(_other_links(rows, stars.where(F.col("owner").isNotNull()), owners))
-    found = stars.union(rest).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
+    links, failed, parts = rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb", "key"), None, []
+    for t in range(TURNS):
+        parts.append(verified(links, False))
+        lost = parts[-1].where(F.col("owner").isNotNull()).select("owner", "key", "a", "ca", F.lit(t).alias("turn"))
+        failed = lost if failed is None else failed.union(lost)
+        links = _other_links(rows, failed, owners, t + 1)
+    parts.append(verified(links, True))
+    found = functools.reduce(DataFrame.union, parts).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
     first = reps.select("node", F.col("rep.id").alias("first"))
     found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("ia")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("ib")), "b")
     out = found.select(F.col("ia").alias(id_col), F.col("sa").alias("start_word"), F.col("ea").alias("end_word"), F.col("ib").alias("other_id"), F.col("sb").alias("other_start"), F.col("eb").alias("other_end"), "jaccard", F.lit("passage").alias("kind"))
