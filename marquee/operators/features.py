@@ -105,7 +105,7 @@ def country_features(countries: DataFrame, item: str = "movieID", country: str =
     """A row for each row: its country, Unknown where missing, Other where it has few rows."""
     c = countries.select(item, F.coalesce(country, F.lit("Unknown")).alias("_c"))
     n = c.groupBy("_c").agg(F.count("*").alias("_n"))
-    return c.join(F.broadcast(n.where(F.col("_n") >= rare)), "_c", "left").select(item, F.when(F.col("_n").isNull(), "Other").otherwise(F.col("_c")).alias("movie_country_encoded"))
+    return c.join(n.where(F.col("_n") >= rare), "_c", "left").select(item, F.when(F.col("_n").isNull(), "Other").otherwise(F.col("_c")).alias("movie_country_encoded"))
 
 
 def tag_features(tags: DataFrame, item: str = "movieID", tag: str = "tagID", weight: str = "tagWeight") -> DataFrame:

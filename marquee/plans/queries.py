@@ -55,7 +55,7 @@ query("prj_6_statistic_fill", "SELECT movieID, round(coalesce(try_cast(rt_score
     lambda v: A.item_metadata(v.items, "movieID", "year", "rt_id", {"score": "rt_score"}).select("movieID", "score")
 )
 query("prj_7_conditional_replace", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 80 THEN 'Other' ELSE p_brand END AS brand FROM part")(
-    lambda v: v.part.join(F.broadcast(v.part.groupBy("p_brand").agg(F.count("*").alias("n"))), "p_brand").select("p_partkey", F.when(F.col("n") < 80, "Other").otherwise(F.col("p_brand")).alias("brand"))
+    lambda v: v.part.join(v.part.groupBy("p_brand").agg(F.count("*").alias("n")), "p_brand").select("p_partkey", F.when(F.col("n") < 80, "Other").otherwise(F.col("p_brand")).alias("brand"))
 )
 query("prj_8_numeric_coercion", "SELECT movieID, try_cast(rt_score AS double) AS score FROM items")(lambda v: v.items.select("movieID", S.to_number(F.col("rt_score")).alias("score")))
 query("prj_9_cast", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity AS bigint) AS quantity FROM lineitem")(lambda v: v.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity")))
