@@ -21,6 +21,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import ExitStack
 from itertools import count
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, free_shuffles, materialise, scratch_path
+from marquee.llm.common import crc_mod, drop_path, free_shuffles, materialise, scratch_path
 from marquee.llm.partenum import LOWER, mix
 
 #: Sweeps over the contexts before the parent is sampled anew, and states that are averaged.
@@ -408,14 +409,15 @@ def _add_up(g: dict):
     return run
 
 
-def _bucketed(df: DataFrame, owners: int, name: str) -> DataFrame:
-    """df as a table of one bucket for each owner, in the shared folder."""
+def _bucketed(df: DataFrame, owners: int, name: str, stack: ExitStack) -> DataFrame:
+    """df as a table of one bucket for each owner, in the shared folder; the stack drops it."""
     spark = df.sparkSession
     table = f"marquee_{name}_{uuid.uuid4().hex[:12]}"
-    df.repartition(owners, "owner").write.bucketBy(owners, "owner").option("path", scratch_path(spark, name)).saveAsTable(table)
-    out = spark.table(table)
-    out.table_name = table
-    return out
+    path = scratch_path(spark, name)
+    stack.callback(drop_path, spark, path)
+    stack.callback(spark.sql, f"DROP TABLE IF EXISTS {table}")
+    df.repartition(owners, "owner").write.bucketBy(owners, "owner").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def discount(ones: int, twos: int) -> float:
@@ -437,24 +439,24 @@ def language_scores(docs: DataFrame, held_out_of: int = 5, rounds: int = 2, id_c
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), (crc_mod(id_col, held_out_of) == 1).cast("int").alias("held"), F.col(text_col).cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
-    sent = rows.mapInArrow(_pairs_out(owners), "owner int, src long, packed binary")
-    state = _bucketed(sent.repartition(owners, "owner").mapInArrow(_merge, STATE), owners, "contexts")
-    s = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"))).first()
-    g = {"N": s.train_tokens + s.train_docs, "V": s.known_words + (s.train_docs > 0), "train_docs": s.train_docs, "d": discount(s.ones, s.twos), "d1": 0.7, "tops": []}
-    free_shuffles(spark)
-    joined, tables = state.select("owner", "packed", "occurrences"), [state.table_name]
-    for turn in range(rounds):
-        asked = joined.drop("occurrences").mapInArrow(_requests(owners, g, turn), "word_owner int, owner int, packed binary").repartition(owners, "word_owner")
-        answers = materialise(asked.mapInArrow(_parent(g, turn), "owner int, word_owner int, packed binary, top long, tables long, ones long, twos long"), "parent")
-        a = answers.agg(F.sum("top"), F.sum("tables"), F.sum("ones"), F.sum("twos")).first()
-        g["tops"].append((a[0] or 0, a[1] or 0))
-        lists = answers.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("word_owner", "packed"))).alias("x")).select("owner", F.transform("x", lambda v: v["packed"]).alias(f"answer{turn}"))
-        answer = _bucketed(lists, owners, f"answer{turn}")
-        tables.append(answer.table_name)
+    # The tables go when scoring has ended, be it by an error.
+    with ExitStack() as stack:
+        sent = rows.mapInArrow(_pairs_out(owners), "owner int, src long, packed binary")
+        state = _bucketed(sent.repartition(owners, "owner").mapInArrow(_merge, STATE), owners, "contexts", stack)
+        s = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_tokens", "known_words", "ones", "twos", "pairs", "train_docs"))).first()
+        g = {"N": s.train_tokens + s.train_docs, "V": s.known_words + (s.train_docs > 0), "train_docs": s.train_docs, "d": discount(s.ones, s.twos), "d1": 0.7, "tops": []}
         free_shuffles(spark)
-        joined = joined.join(answer.hint("merge"), "owner")
-    parts = joined.mapInArrow(_scores(g, rounds), "src long, owner int, packed binary")
-    out = materialise(parts.repartition(owners, "src").mapInArrow(_add_up(g), RESULT), "lm-scores")
-    for t in tables:
-        spark.sql(f"DROP TABLE {t}")
+        joined = state.select("owner", "packed", "occurrences")
+        for turn in range(rounds):
+            asked = joined.drop("occurrences").mapInArrow(_requests(owners, g, turn), "word_owner int, owner int, packed binary").repartition(owners, "word_owner")
+            answers = materialise(asked.mapInArrow(_parent(g, turn), "owner int, word_owner int, packed binary, top long, tables long, ones long, twos long"), "parent")
+            a = answers.agg(F.sum("top"), F.sum("tables"), F.sum("ones"), F.sum("twos")).first()
+            g["tops"].append((a[0] or 0, a[1] or 0))
+            lists = answers.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("word_owner", "packed"))).alias("x")).select("owner", F.transform("x", lambda v: v["packed"]).alias(f"answer{turn}"))
+            answer = _bucketed(lists, owners, f"answer{turn}", stack)
+            drop_path(spark, answers.scratch)
+            free_shuffles(spark)
+            joined = joined.join(answer.hint("merge"), "owner")
+        parts = joined.mapInArrow(_scores(g, rounds), "src long, owner int, packed binary")
+        out = materialise(parts.repartition(owners, "src").mapInArrow(_add_up(g), RESULT), "lm-scores")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(g["N"]).cast("long").alias("train_tokens"), "base_score", "score")
