@@ -231,6 +231,8 @@ class Surrogate:
         from pyspark.ml.classification import RandomForestClassifier
 
         self.model = RandomForestClassifier(numTrees=self.trees, seed=self.seed, labelCol="label", featuresCol="features").fit(rows)
+        # The training summary holds the session, which can't be sent to tasks once a query observed something.
+        self.model._java_obj.setSummary(rows.sparkSession.sparkContext._jvm.scala.Option.empty())
         return self
 
     def importances(self, n: int = 10) -> list[tuple[str, float]]:

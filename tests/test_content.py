@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from marquee.operators import content as C
@@ -80,6 +81,15 @@ def test_surrogate_forest_is_explained_additively(spark):
     assert {t for t, v in s.importances(4) if v > 0} <= {"good", "fine", "bad", "poor"}
 
 
+def test_surrogate_forest_scores_in_a_session_that_observed(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    rows = spark.createDataFrame([(i, "good" if i % 2 else "bad", i % 2) for i in range(40)], "movieID bigint, text string, label int")
+    s = C.Surrogate(trees=3)
+    x = s.assemble(C.tfidf(rows, "movieID", "text"), "movieID").join(rows.select("movieID", "label"), "movieID")
+    assert seen.get == {"n": 3} and all(r.prediction == r.label for r in s.fit(x).model.transform(x).collect())
+
+
 def test_local_explanation_finds_the_token(spark):
     score = lambda df: df.withColumn("score", F.contains("text", F.lit("war")).cast("double"))
     assert C.local_text_explanation(spark, "a war film of old", score, 60)[0][0] == "war"
