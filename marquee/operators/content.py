@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.scalars import dot, norm
+from marquee.functions.scalars import dot
 from marquee.operators.models import last_of_each
+from marquee.operators.search import best_products
 
 TOKEN = r"(?U)\b\w\w+\b"
 
@@ -119,8 +120,8 @@ def recommendations(title: str, profiles: DataFrame, vectors: DataFrame, n: int
 def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """Each key's mean vector, of length 1."""
     x = df.select(key, F.posexplode(vector).alias("at", "v")).groupBy(key, "at").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    x = x.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("profile"))
-    return x.withColumn("profile", F.transform("profile", lambda v: v / norm(F.col("profile"))))
+    x = x.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("profile"), F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.lit(1e-9)).alias("_length"))
+    return x.select(key, F.transform("profile", lambda v: v / F.col("_length")).alias("profile"))
 
 
 def profile_recommendations(ratings: DataFrame, vectors: DataFrame, users: DataFrame, n: int = 10, least: float = 4.0, exclude: DataFrame | None = None, user: str = "userID", item: str = "movieID", rating: str = "rating") -> DataFrame:
@@ -129,10 +130,8 @@ def profile_recommendations(ratings: DataFrame, vectors: DataFrame, users: DataF
     mine = ratings.join(users.select(user).distinct(), user, "left_semi")
     liked = mine.where(F.col(rating) >= least).join(vectors, item)
     p = mean_vectors(liked, user)
-    seen = (mine if exclude is None else exclude).select(user, item).distinct()
-    c = p.crossJoin(vectors.select(item, "embedding")).select(user, item, dot(F.col("embedding"), F.col("profile")).alias("score"))
-    c = c.join(seen, [user, item], "left_anti")
-    return top_of_each(c, user, "score", n, [item])
+    seen = (mine if exclude is None else exclude).groupBy(user).agg(F.collect_set(item).alias("_seen"))
+    return best_products(p.join(seen, user, "left"), vectors, n, user, item, "profile", "embedding", seen="_seen")
 
 
 # --- Evaluation ---
