@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scalars import clip, dot, half_star
 from marquee.operators.checks import require_columns
+from marquee.operators.search import best_products
 
 # --- Splits and samples ---
 
@@ -135,41 +138,107 @@ def compare(scored: DataFrame, models: list[str], actual: str = "rating") -> Dat
 # --- Truncated SVD ---
 
 
+#: Ratings of a block of users, at most (but for one user's).
+SVD_CELLS = 4_000_000
+#: Tasks of a product with the matrix, at most.
+SVD_TASKS = 8
+
+
+def top_eigenvectors(product, n: int, k: int, tol: float = 1e-10, restarts: int = 300, seed: int = 0) -> np.ndarray:
+    """n x k: eigenvectors of the k largest eigenvalues of a symmetric matrix without negative
+    ones, given by its product with a vector. Lanczos with thick restarts: 2 k + 2 vectors of n
+    (more for a small k) are held. Of vectors of one eigenvalue it may find fewer than there are
+    and go on with the next value, as other methods of one vector do (ARPACK)."""
+    rng = np.random.default_rng(seed)
+    m = min(n, max(2 * k + 1, 20))
+    q, t, at = np.zeros((m + 1, n)), np.zeros((m, m)), 0
+
+    def fresh(j: int) -> np.ndarray:
+        w = rng.standard_normal(n)
+        for _ in range(2):
+            w -= (q[:j] @ w) @ q[:j]
+        return w / np.linalg.norm(w)
+
+    q[0] = fresh(0)
+    for _ in range(restarts):
+        for j in range(at, m):
+            w, h = product(q[j]), np.zeros(j + 1)
+            size = np.linalg.norm(w)
+            for _ in range(2):
+                g = q[: j + 1] @ w
+                w = w - g @ q[: j + 1]
+                h += g
+            t[: j + 1, j] = t[j, : j + 1] = h
+            rest = np.linalg.norm(w)
+            if rest > 1e-13 * max(size, np.abs(t).max()):
+                q[j + 1] = w / rest
+            else:  # what was reached is closed: go on elsewhere
+                rest = 0.0
+                q[j + 1] = fresh(j + 1) if j + 1 < n else 0.0
+        values, s = np.linalg.eigh(t)
+        values, s = values[::-1], s[:, ::-1]
+        done = m == n or (rest * np.abs(s[-1, :k])).max() <= tol * max(values[0], 1e-300)
+        p = k if done else k + (m - k) // 2
+        for c in range(0, n, 1 << 16):
+            q[:p, c : c + (1 << 16)] = s[:, :p].T @ q[:m, c : c + (1 << 16)]
+        if done:
+            break
+        q[p], at = q[m], p
+        t[:] = 0.0
+        t[range(p), range(p)] = values[:p]
+    else:
+        raise ValueError("the factors do not converge")
+    return np.ascontiguousarray(q[:k].T)
+
+
 class SVD:
     """Ratings (mean of repeats) less the user's mean, unrated as 0, at rank n_factors.
 
     The reconstruction is M V V': only V, items x factors, is made; predictions are sums over
-    a user's ratings. The dense matrix never exists."""
+    a user's ratings. The dense matrix never exists. Products with M are made by blocks of
+    users; beyond one block the
+    driver holds 2 n_factors + 2 vectors of a number for each item, and those of SVD_TASKS tasks."""
 
     def __init__(self, n_factors: int = 50, clip_to: tuple[float, float] | None = None, to_half_stars: bool = False, user: str = "userID", item: str = "movieID", rating: str = "interaction_rating"):
         self.k, self.clip_to, self.half, self.user, self.item, self.rating = n_factors, clip_to, to_half_stars, user, item, rating
 
     def fit(self, interactions: DataFrame) -> SVD:
-        from pyspark.mllib.linalg import SparseVector
-        from pyspark.mllib.linalg.distributed import RowMatrix
-
         require_columns(interactions, self.user, self.item, self.rating, error=ValueError)
         spark = interactions.sparkSession
+        sc = spark.sparkContext
         cells = interactions.groupBy(F.col(self.user).alias("u"), F.col(self.item).alias("i")).agg(F.avg(self.rating).alias("r")).persist()
         self.seen = cells
-        self.users = cells.groupBy("u").agg(F.avg("r").alias("mean"))
-        # A column number for each item; items are the model's width, as is V on the driver.
-        ids = [r.i for r in cells.select("i").distinct().orderBy("i").collect()]
-        self.items = spark.createDataFrame(list(enumerate(ids)), "col int, i long")
-        centred = cells.join(self.users, "u").join(F.broadcast(self.items), "i").select("u", "col", (F.col("r") - F.col("mean")).alias("x"))
-        rows = centred.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("col", "x"))).alias("v"))
-        width = len(ids)
-        # The solver multiplies by this matrix again and again: kept in memory, or on disk.
-        vectors = rows.rdd.map(lambda r: SparseVector(width, [c.col for c in r.v], [c.x for c in r.v])).persist(StorageLevel.MEMORY_AND_DISK)
-        n_users = vectors.count()
+        # A column number for each item: its place among these.
+        ids = cells.where("i IS NOT NULL").select(F.col("i").cast("long")).distinct().orderBy("i").toArrow().column(0).to_numpy()
+        n_cells, n_users = cells.agg(F.count("*"), F.count_distinct("u")).first()
+        width, shared = len(ids), sc.broadcast(ids)
+        parts = -(-n_cells // SVD_CELLS)
+        parts = 1 if parts < 2 else max(parts, sc.defaultParallelism)
+        rated = cells.where("u IS NOT NULL AND i IS NOT NULL").select("u", F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"))
+        packed = rated.repartition(parts, "u").sortWithinPartitions("u", "i").mapInArrow(_svd_blocks(shared, SVD_CELLS), f"users array<{cells.schema['u'].dataType.simpleString()}>, means binary, sizes binary, cols binary, x binary")
+        packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+        # Each task sends a vector of all items to the driver at each of some hundred products.
+        blocks = packed.select("sizes", "cols", "x").rdd.map(_svd_arrays).coalesce(min(parts, SVD_TASKS)).persist(StorageLevel.MEMORY_AND_DISK)
+
         k = max(1, min(self.k, min(width, n_users) - 1))
-        v = RowMatrix(vectors, n_users, width).computeSVD(k, False).V.toArray()
-        vectors.unpersist()
-        self.item_factors = spark.createDataFrame([(ids[c], [float(x) for x in v[c]]) for c in range(width)], "i long, f array<double>")
-        parts = centred.join(F.broadcast(self.items), "col").join(F.broadcast(self.item_factors), "i")
-        parts = parts.select("u", F.posexplode("f").alias("at", "w"), "x").groupBy("u", "at").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-        lists = parts.groupBy("u").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda p: p["s"]).alias("f"))
-        self.user_factors = self.users.join(lists, "u")
+
+        def product(v: np.ndarray) -> np.ndarray:
+            sent = sc.broadcast(v)
+            y = blocks.mapPartitions(lambda rows: [_gram_product(rows, sent.value, width)]).reduce(np.add)
+            sent.destroy()
+            return y
+
+        def alone(rows):
+            held = list(rows)
+            yield top_eigenvectors(lambda v: _gram_product(held, v, width), width, k)
+
+        # What one task can hold is left to one: some hundred products are as many jobs.
+        v = blocks.mapPartitions(alone).first() if parts == 1 else top_eigenvectors(product, width, k)
+        blocks.unpersist()
+        self.item_factors = spark.createDataFrame(pa.table({"i": ids, "f": pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(v).ravel(), k).cast(pa.list_(pa.float64()))}))
+        factors = sc.broadcast(v)
+        self.user_factors = packed.mapInArrow(_svd_users(factors), f"u {cells.schema['u'].dataType.simpleString()}, mean double, f array<double>")
+        self.users = self.user_factors.select("u", "mean")
         return self
 
     def _value(self):
@@ -194,11 +263,84 @@ class SVD:
 
     def recommend_all(self, users: DataFrame, metadata: DataFrame, top_n: int = 10) -> DataFrame:
         """The best unseen items of each of the given users (a column u)."""
-        u = self.user_factors.join(users, "u", "left_semi").select("u", "mean", F.col("f").alias("uf"))
-        c = u.crossJoin(F.broadcast(self.item_factors)).join(self.seen.select("u", "i"), ["u", "i"], "left_anti").select("u", "i", self._value().alias("prediction"))
-        w = Window.partitionBy("u").orderBy(F.col("prediction").desc(), "i")
-        best = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-        return best.select(F.col("u").alias(self.user), F.col("i").alias(self.item), "prediction", "rank").join(metadata.select(self.item, "title"), self.item, "left")
+        u = self.user_factors.join(users, "u", "left_semi").join(self.seen.groupBy("u").agg(F.collect_set("i").alias("_seen")), "u", "left")
+        clip_to, half = self.clip_to, self.half
+
+        def value(p):
+            p = np.clip(p, *clip_to) if clip_to else p
+            return np.round(p * 2) / 2 if half else p
+
+        best = best_products(u, self.item_factors, top_n, "u", "i", "f", "f", base="mean", seen="_seen", value=value)
+        return best.select(F.col("u").alias(self.user), F.col("i").alias(self.item), F.col("score").alias("prediction"), "rank").join(metadata.select(self.item, "title"), self.item, "left")
+
+
+def _svd_blocks(ids, most: int):
+    """Rows u, i, r in the order of u as blocks: users, means, and their centred ratings."""
+
+    def block(t):
+        u, i, r = (t.column(c) for c in range(3))
+        u = u.combine_chunks()
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(u.slice(1), u.slice(0, len(u) - 1)).to_numpy(zero_copy_only=False)])
+        sizes = np.diff(np.r_[starts, len(u)])
+        r = r.to_numpy()
+        known = ~np.isnan(r)
+        counts = np.add.reduceat(known.astype(float), starts)
+        means = np.where(counts > 0, np.add.reduceat(np.where(known, r, 0.0), starts) / np.maximum(counts, 1.0), np.nan)
+        x = np.where(known, r - np.repeat(means, sizes), 0.0)
+        cols = np.searchsorted(ids.value, i.to_numpy()).astype(np.int32)
+        users = u.take(pa.array(starts))
+        users = pa.ListArray.from_arrays(pa.array([0, len(users)], pa.int32()), users)
+        return pa.RecordBatch.from_arrays([users, *(pa.array([a.tobytes()]) for a in (means, sizes.astype(np.int64), cols, x))], ["users", "means", "sizes", "cols", "x"])
+
+    def pack(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n > most:  # all but the last user, who may go on
+                t = pa.Table.from_batches(held)
+                last = t.column(0).slice(n - 1).to_pylist()[0]
+                cut = n - pc.sum(pc.equal(t.column(0), pa.scalar(last, t.column(0).type))).as_py()
+                if cut:
+                    yield block(t.slice(0, cut))
+                held, n = t.slice(cut).to_batches(), n - cut
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    return pack
+
+
+def _gram_product(blocks, v: np.ndarray, width: int) -> np.ndarray:
+    y = np.zeros(width)
+    for sizes, cols, x in blocks:
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        y += np.bincount(cols, x * np.bincount(at, x * v[cols], len(sizes))[at], width)
+    return y
+
+
+def _svd_arrays(row) -> tuple:
+    return np.frombuffer(row.sizes, np.int64), np.frombuffer(row.cols, np.int32), np.frombuffer(row.x)
+
+
+def _svd_users(factors, rows: int = 10_000):
+    """Users with means and factors, the sums of their centred ratings times the items' factors."""
+
+    def project(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                users, means, sizes, cols, x = (b.column(c)[r] for c in range(5))
+                users, means, (sizes, cols, x) = users.values, np.frombuffer(means.as_py()), (np.frombuffer(a.as_py(), t) for a, t in ((sizes, np.int64), (cols, np.int32), (x, float)))
+                ends = np.cumsum(sizes)
+                for s in range(0, len(sizes), rows):
+                    e = min(s + rows, len(sizes))
+                    a, z = ends[s] - sizes[s], ends[e - 1]
+                    f = np.add.reduceat(factors.value[cols[a:z]] * x[a:z, None], (ends - sizes)[s:e] - a, axis=0)
+                    f = pa.FixedSizeListArray.from_arrays(f.ravel(), f.shape[1]).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([users.slice(s, e - s), pa.array(means[s:e], from_pandas=True), f], ["u", "mean", "f"])
+
+    return project
 
 
 # --- Matrix factorisation ---

@@ -60,6 +60,42 @@ def test_svd_averages_repeats_and_may_clip(spark):
     assert all((2 * r.prediction) % 1 == 0 for r in m.predict(df).collect())
 
 
+@pytest.mark.parametrize("cells", [500, 10_000])
+def test_svd_by_blocks_agrees_with_numpy(spark, monkeypatch, cells):
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    def no(*_):
+        raise MemoryError("all factors in the driver's JVM")
+
+    monkeypatch.setattr(RowMatrix, "computeSVD", no)
+    monkeypatch.setattr(M, "SVD_CELLS", cells)
+    rng = np.random.default_rng(3)
+    rated = rng.random((90, 70)) < 0.5
+    r = rng.integers(1, 11, (90, 70)) / 2
+    df = spark.createDataFrame([(u, i, float(r[u, i])) for u, i in zip(*map(lambda a: a.tolist(), np.nonzero(rated)), strict=True)], "userID bigint, movieID bigint, interaction_rating double")
+    m = M.SVD(n_factors=4).fit(df)
+    mean = (r * rated).sum(1, keepdims=True) / rated.sum(1, keepdims=True)
+    u, s, vt = np.linalg.svd((r - mean) * rated)
+    low = mean + (u[:, :4] * s[:4]) @ vt[:4]
+    got = {(x.userID, x.movieID): x.prediction for x in m.predict(df).collect()}
+    assert len(got) == rated.sum() and all(math.isclose(p, low[k], abs_tol=1e-8) for k, p in got.items())
+    titles = spark.createDataFrame([(i, f"t{i}") for i in range(70)], "movieID bigint, title string")
+    best = {}
+    for x in m.recommend_all(m.users.select("u"), titles, 5).collect():
+        best.setdefault(x.userID, []).append((x["rank"], x.movieID, x.title))
+    for k in range(90):
+        want = sorted((i for i in range(70) if not rated[k, i]), key=lambda i: -low[k, i])[:5]
+        assert sorted(best[k]) == [(n + 1, i, f"t{i}") for n, i in enumerate(want)]
+
+
+def test_eigenvectors_of_zero_and_close_values():
+    zero = M.top_eigenvectors(lambda v: 0 * v, 30, 3)
+    assert np.allclose(zero.T @ zero, np.eye(3))
+    d = np.r_[5.0, 4.9999, np.arange(98) / 20]
+    v = M.top_eigenvectors(lambda x: d * x, 100, 4)
+    assert np.allclose(v.T @ v, np.eye(4)) and np.allclose(np.abs(v[[0, 1, 99, 98], range(4)]), 1.0)
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_factorization(spark, interactions, titles, exact):
     m = M.MatrixFactorization(n_factors=2, n_epochs=5, exact=exact).fit(interactions)
