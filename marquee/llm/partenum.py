@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marquee.llm.common import drop_path, free_shuffles, materialise
@@ -174,6 +174,8 @@ CUTS = 2
 SEND_BYTES = 32 << 20
 #: Bytes of text for each owner of a range of signatures.
 OWNER_BYTES = 8 << 20
+#: Bits of a signature that are sent, and of a node's key that go with it.
+SIG_BITS, REF_BITS = 48, 32
 #: Turns in which nodes of large clusters meet one hub each, before a family's pairs do.
 HUB_TURNS = 2
 #: Nodes with a signature in common up to which their keys are broadcast.
@@ -182,27 +184,38 @@ BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
-def _pack(sig: np.ndarray, node: np.ndarray, copies: np.ndarray) -> bytes:
-    """Sorted signatures with their nodes: what the owner of a signature range gets."""
-    nodes, at = np.unique(node, return_inverse=True)
-    width = 1 if len(nodes) < 256 else 2 if len(nodes) < 65536 else 4
+def _owner(sig: np.ndarray, owners: int) -> np.ndarray:
+    """The owner of each signature: equal ranges, so that the signatures of a pack are near."""
+    return (((sig >> np.uint64(8)) * np.uint64(owners)) >> np.uint64(SIG_BITS - 8)).astype(np.int64)
+
+
+def _pack(sig: np.ndarray, ref: np.ndarray, copies: np.ndarray) -> bytes:
+    """Sorted signatures with the short keys of their nodes: what the owner of a signature range
+    gets. Keys are numbered where that takes less; in a small pack, as many owners make it,
+    hardly any repeats."""
+    refs, at = np.unique(ref, return_inverse=True)
+    width = 1 if len(refs) <= 1 << 8 else 2 if len(refs) <= 1 << 16 else 4
+    if 4 * len(refs) + width * len(ref) >= 4 * len(ref):
+        refs, at, width = refs[:0], ref, 4
     o = np.argsort(sig, kind="stable")
-    gaps = np.diff(sig[o], prepend=np.uint64(0))
-    body = b"".join((np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, k]).tobytes()) for k in range(8))
-    return struct.pack("<III", len(sig), len(nodes), width) + nodes.tobytes() + at[o].astype(f"<u{width}").tobytes() + np.packbits(copies[o]).tobytes() + body
+    gaps = np.diff(sig[o], prepend=sig[o[:1]])
+    planes = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    body = b"".join((np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, k]).tobytes()) for k in range(planes))
+    return struct.pack("<IIBBQ", len(sig), len(refs), width, planes, int(sig[o[0]])) + refs.astype("<i4").tobytes() + at[o].astype(f"<u{width}" if len(refs) else "<i4").tobytes() + np.packbits(copies[o]).tobytes() + body
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, width = struct.unpack_from("<III", b)
-    at = 12
-    nodes = np.frombuffer(b, np.int64, m, at)
-    at += 8 * m
-    node = nodes[np.frombuffer(b, f"<u{width}", n, at)]
+    n, m, width, planes, first = struct.unpack_from("<IIBBQ", b)
+    at = struct.calcsize("<IIBBQ")
+    refs = np.frombuffer(b, "<i4", m, at)
+    at += 4 * m
+    ref = refs[np.frombuffer(b, f"<u{width}", n, at)] if m else np.frombuffer(b, "<i4", n, at)
     at += width * n
     copies = np.unpackbits(np.frombuffer(b, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
     at += (n + 7) // 8
-    gaps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).reshape(-1)
-    return np.cumsum(gaps, dtype=np.uint64), node, copies
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :planes] = np.frombuffer(b, np.uint8, planes * n, at).reshape(planes, n).T
+    return np.cumsum(gaps.view(np.uint64).reshape(-1), dtype=np.uint64) + np.uint64(first), ref, copies
 
 
 def _node_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -234,8 +247,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owners: int) -> DataFrame:
-    """Rows of packed signatures by owner; a set that a map task has seen is not sent again."""
+    """Rows of packed signatures by owner; a set that a map task has seen is not sent again.
+    Of a signature SIG_BITS go, of its node's key REF_BITS: what agrees in them by chance is
+    told apart by sketches."""
     schema = pa.schema([("owner", pa.int32()), ("packed", pa.binary())])
+    ref_bits = REF_BITS
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
         sig, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -244,7 +260,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owne
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         start = np.flatnonzero(new)
         many = np.diff(np.concatenate((start, [len(sig)]))) >= SPREAD
-        owner = (sig % np.uint64(owners)).astype(np.int64)
+        owner = _owner(sig, owners)
         copy = np.zeros(len(sig), bool)
         if many.any():
             # Hot in this task: its rows go to an owner that its first node picks, and one
@@ -277,7 +293,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owne
                 if len(seen) > 1_000_000:
                     seen = set()
                 sig, at = plan.signatures(flat[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0))
-                held.append((sig, node[at]))
+                held.append((sig >> np.uint64(64 - SIG_BITS), ((node[at] << 1) >> (64 - ref_bits)).astype(np.int32)))
                 size += 16 * len(sig)
                 if size > SEND_BYTES:
                     yield from send(held)
@@ -288,6 +304,29 @@ def _signatures(docs: DataFrame, text_col: str, n: int, num: int, den: int, owne
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "owner int, packed binary")
 
 
+def _ref() -> Column:
+    """The short key that signatures carry, of a column `node`."""
+    return F.shiftright(F.shiftleft("node", 1), 64 - REF_BITS).cast("int")
+
+
+def _shared_nodes(shared: DataFrame, each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (sig, node) and nodes (node, ref, rep, size, sketch), from signatures by short
+    keys. A short key stands for all nodes that have it; these are a group of their own, too, as
+    a signature that they alone share is not seen."""
+    spark = each.sparkSession
+    some = each.where("size > 0").withColumn("ref", _ref())
+    twins = materialise(some.groupBy("ref").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ref"), "twins")
+    wanted = shared.select("ref").union(twins).distinct()
+    nodes = some.join(wanted, "ref", "left_semi").groupBy("node").agg(F.first("ref").alias("ref"), F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = materialise(nodes, "nodes")
+    free_shuffles(spark)
+    # No signature is below 0.
+    own = twins.select((F.col("ref").cast("long") - (1 << 33)).alias("sig"), "ref")
+    groups = materialise(shared.union(own).join(nodes.select("ref", "node"), "ref").select("sig", "node"), "groups")
+    drop_path(spark, twins.scratch)
+    return groups, nodes
+
+
 def _members(node: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Two 64-bit keys and the size of each group of distinct nodes, groups beginning at start:
     equal for groups of the same nodes."""
@@ -297,8 +336,8 @@ def _members(node: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
-    """(sig, node) of signatures that more than one node has; of an owner's groups of the same
-    nodes, one."""
+    """(sig, ref) of signatures that nodes of more than one short key have; of an owner's groups
+    of the same keys, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -317,22 +356,25 @@ def _shared_signatures(rows: DataFrame, owners: int) -> DataFrame:
             start = np.flatnonzero(new)
             n = np.diff(np.concatenate((start, [len(sig)])))
             # A group is all here unless parts of it were spread; then a copy tells of them.
-            whole = ~hot & (sig[start] % np.uint64(owners) == np.uint64(owner)) & (n > 1)
+            whole = ~hot & (_owner(sig[start], owners) == owner) & (n > 1)
             first = np.zeros(len(start), bool)
             if whole.any():
                 _, at = np.unique(_members(node, start)[whole], axis=0, return_index=True)
                 first[np.flatnonzero(whole)[at]] = True
             keep = np.repeat((n > 1) & (~whole | first), n) & ~copy
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "ref"])
 
-    return rows.repartition(owners, "owner").mapInArrow(run, "sig long, node long")
+    return rows.repartition(owners, "owner").mapInArrow(run, "sig long, ref int")
 
 
-def _distinct_groups(rows: DataFrame) -> DataFrame:
-    """Of groups (sig) of the same nodes, one: it tells all that the others do. The rows are
-    distinct, so that XOR of two hashes and the number stand for the nodes (by 128 bits)."""
-    groups = rows.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")).where("n > 1")
-    some = groups.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig")
+def _distinct_groups(rows: DataFrame, of: str = "node") -> DataFrame:
+    """Of groups (sig) of the same nodes, one: it tells all that the others do. Sums of two
+    hashes, by halves, and the number stand for the nodes; a row may be there twice (copies
+    that several map tasks spread), which would cancel under XOR."""
+    h = [F.xxhash64(of), F.xxhash64(of, F.lit(1))]
+    sums = [F.sum(x).alias(f"x{i}") for i, x in enumerate(y for k in h for y in (F.shiftright(k, 32), k.bitwiseAND(0xFFFFFFFF)))]
+    groups = rows.groupBy("sig").agg(*sums, F.count("*").alias("n")).where("n > 1")
+    some = groups.groupBy("x0", "x1", "x2", "x3", "n").agg(F.min("sig").alias("sig")).select("sig")
     return rows.join(some, "sig", "left_semi")
 
 
@@ -645,22 +687,26 @@ def linked_nodes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES), 1)
     # Two readings of the texts: kept for both uses, the packed signatures would lie on disk
     # twice, and they are the largest thing here.
-    shared = materialise(_shared_signatures(_signatures(docs, text_col, n, num, den, owners), owners), "signatures")
+    sent = materialise(_shared_signatures(_signatures(docs, text_col, n, num, den, owners), owners), "signatures")
+    free_shuffles(spark)
+    shared = materialise(_distinct_groups(sent, "ref"), "shared")
+    drop_path(spark, sent.scratch)
     free_shuffles(spark)
-    groups = materialise(_distinct_groups(shared), "groups")
     each = materialise(_sets(docs, id_col, text_col, n), "sets")
+    groups, nodes = _shared_nodes(shared, each)
     drop_path(spark, shared.scratch)
-    near = groups.select("node").distinct()
-    nodes = each.where("size > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(near, "node")
-    nodes = materialise(nodes, "nodes")
+    nodes = nodes.drop("ref")
+    free_shuffles(spark)
     parts, large = _refined(groups, docs, nodes, n, num, den, id_col, text_col)
     families = materialise(_families(parts, large, nodes, owners, num, den), "families")
     free_shuffles(spark)
     sets = _Sets(docs, nodes, n, id_col, text_col)
     labels = materialise(families.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
     small, others, some = _clusters(families, nodes)
+    free_shuffles(spark)
     made = sets.of(small.select("node"))
     links = materialise(_family_links(small.withColumn("comp", F.col("node")), nodes, made, owners, num, den), "links")
+    free_shuffles(spark)
     labels = relabelled(labels, links)
     for turn in range(HUB_TURNS + 1 if some else 0):
         others = _live(others.select("family", "node"), labels)

@@ -610,3 +610,27 @@ def test_sketches_of_two_widths():
     m = partenum._Marks(pa.array(size), pa.array([x.tolist() for x in marks], pa.list_(pa.int64())))
     lo, hi = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
     assert (m.may_link(p, q, 8, 10) == ((10 * lo >= 8 * hi) & (got * 18 <= (lo + hi) * 2))).all()
+
+
+def test_signatures_in_small_packs_take_little_room(spark):
+    r = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(str(r.randrange(5000)) for _ in range(200))) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    signatures = 1000 * len(partenum.PartEnum(8, 10).signatures(partenum.mix(np.arange(196, dtype=np.uint64)), np.array([196]))[0])
+    assert partenum._signatures(docs, "text", 5, 8, 10, 400).agg(F.sum(F.length("packed"))).first()[0] < 10 * signatures
+
+
+def test_groups_with_repeated_rows_stay_apart(spark):
+    rows = [(1, 10), (1, 10), (1, 11), (1, 11), (2, 20), (2, 20), (2, 21), (2, 21), (3, 10), (3, 10), (3, 11), (3, 11)]
+    got = partenum._distinct_groups(spark.createDataFrame(rows, "sig long, node long"))
+    assert {x.sig for x in got.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("bits", [3, 32])
+def test_nodes_of_one_short_key_are_linked(spark, monkeypatch, bits):
+    monkeypatch.setattr(partenum, "REF_BITS", bits)
+    r = random.Random(12)
+    texts = [" ".join(str(r.randrange(1000)) for _ in range(60)) for _ in range(40)]
+    texts += [t + " more" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in partenum.jaccard_components(df, 5, 8, 10).collect()}
+    assert got == {i: i % 40 for i in range(80)}
