@@ -92,14 +92,16 @@ def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def least_places(h: np.ndarray, least: int) -> np.ndarray:
-    """The places c of compact_windows(), by running minima; hashes count by 32 bits."""
-    v, n = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
+    """The places c of compact_windows(), by running minima; hashes count by 32 bits. Of several
+    rows of hashes, the places of all."""
+    v, n = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(h.shape[-1], dtype=np.uint64), 1
     while n < least:
         k = min(n, least - n)
-        v = np.minimum(v[:-k], v[k:])
+        v = np.minimum(v[..., :-k], v[..., k:])
         n += k
-    c = v & np.uint64(0xFFFFFFFF)
-    return c[np.concatenate(([True], c[1:] != c[:-1]))].astype(np.int64)
+    held = np.zeros(h.shape[-1], bool)
+    held[(v & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    return np.flatnonzero(held)
 
 
 def _contexts(s: np.ndarray, reach: int) -> np.ndarray:
@@ -122,10 +124,10 @@ def window_keys(s: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.
     them can hold, the first stands for the others."""
     if len(s) < least:
         return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty((0, 4), np.uint64)
-    places = np.unique(np.concatenate([least_places(mix(s ^ (np.array([f + 1], np.uint64) * GOLD)), least) for f in range(hashes)]))
-    key = s[places]
-    _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    if (count > 1).any():
+    places = least_places(mix(s ^ (np.arange(1, hashes + 1, dtype=np.uint64)[:, None] * GOLD)), least)
+    key = np.sort(s[places])
+    if (key[1:] == key[:-1]).any():
+        _, at, count = np.unique(s[places], return_inverse=True, return_counts=True)
         had, keep = set(), np.ones(len(places), bool)
         for i in np.flatnonzero(count[at] > 1):
             p = int(places[i])
@@ -383,9 +385,65 @@ def _run(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ.argmax()) if differ.any() else n
 
 
+@functools.cache
+def _table(bits: int) -> np.ndarray:
+    return np.zeros(1 << bits, bool)
+
+
+def _maybe_within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """np.isin(x, y), and a few elements of x more: by the last bits of hashes."""
+    bits = min(22, max(16, len(y).bit_length() + 6))
+    table, last = _table(bits), np.uint32((1 << bits) - 1)
+    at = y & last
+    table[at] = True
+    out = table[x & last]
+    table[at] = False
+    return out
+
+
+def _covered(match: np.ndarray, least: int, similarity: float) -> np.ndarray | None:
+    """The places that some interval of `least` elements or more holds in which matches balance
+    the others, None if there are no such: around no other place is the widest interval of
+    _around() long enough. (Sums from the text's start round otherwise than sums from a place,
+    so the balance is looser.)"""
+    share = 2 * similarity / (1 + similarity)
+    if np.count_nonzero(match) < share * least - 1e-6:
+        return None
+    n = len(match)
+    sums = np.zeros(n + 1)
+    np.cumsum(np.where(match, 1.0, -share / (1 - share)), out=sums[1:])
+    # The last end that balances each start: by the greatest sum from each end on.
+    most = np.maximum.accumulate(sums[::-1])[::-1]
+    start = np.flatnonzero(most[least:] >= sums[: max(0, n + 1 - least)] - 1e-6)
+    if not len(start):
+        return None
+    end = n - np.searchsorted(most[::-1], sums[start] - 1e-6)
+    steps = np.zeros(n + 1, np.int64)
+    steps[start] = 1
+    np.add.at(steps, end, -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def _flags(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Which of 0 to n - 1 are among the numbers."""
+    out = np.zeros(n, bool)
+    out[numbers] = True
+    return out
+
+
 def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similarity: float) -> list[tuple]:
     """(start, end, start, end, Jaccard) of maximal passages of x and y around joined places."""
-    in_x, out = np.isin(x, y), []
+    out: list[tuple] = []
+    for side, (s, t) in enumerate(((x, y), (y, x))):
+        held = _covered(_maybe_within(s, t), least, similarity)
+        places = [p for p in places if held[p[side]]] if held is not None else []
+        if not places:
+            return out
+    # Elements by number: what is in what is then a look into a table.
+    u, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    x, y, u = at[: len(x)], at[len(x) :], len(u)
+    in_x = _flags(y, u)[x]
+    shares: dict[tuple, float] = {}
     for cx, cy in places:
         if any(i <= cx <= j and k <= cy <= m for i, j, k, m, _ in out):
             continue
@@ -393,17 +451,17 @@ def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similari
         i, j = _around(in_x, cx, similarity, True)
         if j - i + 1 < least:
             continue
-        in_y = np.isin(y, x[i : j + 1])
+        in_y = _flags(x[i : j + 1], u)[y]
         k, m = _around(in_y, cy, similarity, True)
         if m - k + 1 < least:
             continue
         # The heaviest interval, else the widest between matches, else the same against what the
         # other text's interval has, each padded to the least length; else all of the widest.
         core = (*_cut(in_x, i, j), *_cut(in_y, k, m))
-        again = np.isin(x, y[core[2] : core[3] + 1])
+        again = _flags(y[core[2] : core[3] + 1], u)[x]
         tight = (*_cut(again, *_around(again, cx, similarity, True)), core[2], core[3])
         a, b = _around(in_x, cx, similarity)
-        heavy = (a, b, *_around(np.isin(y, x[a : b + 1]), cy, similarity))
+        heavy = (a, b, *_around(_flags(x[a : b + 1], u)[y], cy, similarity))
         tries = [(*_padded(*t[:2], len(x), least), *_padded(*t[2:], len(y), least)) for t in (heavy, core, tight)]
         tries.append((i, j, k, m))
         back = _run(x[: cx + 1][::-1], y[: cy + 1][::-1])
@@ -411,8 +469,10 @@ def similar_intervals(x: np.ndarray, y: np.ndarray, places, least: int, similari
         for i, j, k, m in (*tries, (cx - back + 1, cx + ahead - 1, cy - back + 1, cy + ahead - 1)):
             if min(j - i, m - k) + 1 < least:
                 continue
-            both = len(np.intersect1d(x[i : j + 1], y[k : m + 1]))
-            jaccard = both / (len(np.unique(x[i : j + 1])) + len(np.unique(y[k : m + 1])) - both)
+            if (i, j, k, m) not in shares:
+                p, q = _flags(x[i : j + 1], u), _flags(y[k : m + 1], u)
+                shares[i, j, k, m] = int(np.count_nonzero(p & q)) / int(np.count_nonzero(p | q))
+            jaccard = shares[i, j, k, m]
             if jaccard >= similarity:
                 out.append((i, j, k, m, jaccard))
                 break
@@ -458,20 +518,31 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         return materialise(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sequences, "node long, elements binary"), "passage-sequences")
 
     def verify(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 6 + [pa.float64(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["a", "b", "sa", "ea", "sb", "eb", "jaccard", "owner", "key", "ca"]
         for t in batches:
-            out = []
-            for a, b, places, x, y in zip(*(t.column(k) for k in range(5)), strict=True):
-                at = [(p["ca"], p["cb"], p["key"]) for p in places.as_py()]
-                a, b = a.as_py(), b.as_py()
-                found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), [p[:2] for p in at], least, similarity)
-                out += [(a, b, i, j + shingle, k, m + shingle, s, None, None, None) for i, j, k, m, s in found]
-                if last:
-                    continue
-                # What no passage holds has failed: its owner, key and place.
-                out += [(a, b, None, None, None, None, None, (key & (1 << 64) - 1) % owners, key, ca) for ca, cb, key in at if not any(i <= ca <= j and k <= cb <= m for i, j, k, m, _ in found)]
+            out, first, second = [], t.column(0).to_numpy(), t.column(1).to_numpy()
+            places = t.column(2)
+            at, links = places.offsets.to_numpy(), places.flatten()
+            at = at - at[0]
+            ca, cb, keys = (links.field(k).to_numpy() for k in range(3))
+            failed = np.ones(len(ca), bool)
+            for r, (x, y) in enumerate(zip(t.column(3), t.column(4), strict=True)):
+                own = slice(at[r], at[r + 1])
+                px, py = ca[own], cb[own]
+                found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), list(zip(px.tolist(), py.tolist(), strict=True)), least, similarity)
+                for i, j, k, m, s in found:
+                    out.append((first[r], second[r], i, j + shingle, k, m + shingle, s, None, None, None))
+                    failed[own] &= ~((i <= px) & (px <= j) & (k <= py) & (py <= m))
             cols = list(zip(*out, strict=True)) or [()] * 10
-            kinds = [pa.int64()] * 6 + [pa.float64(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "sa", "ea", "sb", "eb", "jaccard", "owner", "key", "ca"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            if last or not failed.any():
+                continue
+            # What no passage holds has failed: its owner, key and place.
+            row = np.repeat(np.arange(len(first)), np.diff(at))[failed]
+            owner = (keys[failed].view(np.uint64) % np.uint64(owners)).astype(np.int32)
+            none = [pa.nulls(len(row), k) for k in kinds[2:7]]
+            yield pa.RecordBatch.from_arrays([pa.array(first[row]), pa.array(second[row]), *none, pa.array(owner), pa.array(keys[failed]), pa.array(ca[failed])], names=names)
 
     def verified(links: DataFrame, last: bool) -> DataFrame:
         pairs = materialise(links.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ca", "cb", "key"))).alias("places")), "passage-links")

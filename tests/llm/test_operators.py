@@ -634,3 +634,20 @@ def test_nodes_of_one_short_key_are_linked(spark, monkeypatch, bits):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in partenum.jaccard_components(df, 5, 8, 10).collect()}
     assert got == {i: i % 40 for i in range(80)}
+
+
+def test_pairs_without_a_passage_are_told_before_their_links(monkeypatch):
+    """Texts that share a line only: no link is looked at. Where a passage is, the places that
+    may have it hold all of the widest intervals that are long enough."""
+    r, calls = np.random.default_rng(13), []
+    around = passages._around
+    monkeypatch.setattr(passages, "_around", lambda *a: calls.append(a) or around(*a))
+    x, y = (r.integers(0, 1 << 32, 400, dtype=np.uint32) for _ in range(2))
+    y[100:120] = x[300:320]
+    assert passages.similar_intervals(x, y, [(300 + i, 100 + i) for i in range(20)], 46, 0.8) == [] and not calls
+    for _ in range(40):
+        match = r.random(300) < np.repeat(r.choice([0.2, 0.85, 0.95], 6), 50)
+        held = passages._covered(match, 46, 0.8)
+        for c in np.flatnonzero(match).tolist():
+            i, j = around(match, c, 0.8, True)
+            assert j - i + 1 < 46 if held is None or not held[c] else j - i + 1 >= 46
