@@ -8,10 +8,11 @@ the same under every hash function, near ones under most, wherever words were pu
 out. With it go bits of the 22 elements on either side.
 
 Equal keys meet at the key's owner. Each row is compared with the first of its key, if their
-bits allow a passage; of the rows that this does not join to it, each with the first of them,
-and so on for TURNS turns. Then all pairs of a key that share no such first row and have not
-met are compared, likewise. The widest intervals around the joined elements that are similar enough
-are the passages.
+bits allow a passage. Where rows are left that this does not join, the owner asks for the
+elements around the rows of the key. Rows that share a passage there share one of their rarest
+elements (the prefix filter of set joins, by how often the key's rows have an element), so a
+frequent line brings no pairs; of those that do, pairs not yet joined by others are compared. The
+widest intervals around the joined elements that are similar enough are the passages.
 """
 
 from __future__ import annotations
@@ -41,10 +42,14 @@ BROADCAST_ROWS = 500_000
 #: hash, with its first row and with the others. A least passage has one edit of a word or two,
 #: which leaves 16 of them.
 COMMON_BITS, REST_BITS = 9, 11
-#: Rows of a key that are compared by blocks of so many pairs.
-LARGE, BLOCK_PAIRS = 64, 500_000
-#: Turns in which rows of a key seek a first row to join.
-TURNS = 4
+#: Rows of a key up to which each needs enough bits in common with another for its elements to be
+#: asked for; of larger keys, those of all rows are.
+LARGE = 1024
+#: Rows of a key beyond which bits are compared by blocks, pairs of a block, and elements asked
+#: for on either side of a row.
+BLOCK_ROWS, BLOCK_PAIRS, REACH = 64, 500_000, 50
+#: Beyond all numbers of elements.
+FAR = np.int64(1) << 40
 
 SCHEMA = pa.schema([("owner", pa.int32()), *((c, pa.int64()) for c in ("id", "text_hash", "node", "words")), ("packed", pa.binary())])
 ROWS = "owner int, id long, text_hash long, node long, words long, packed binary"
@@ -150,59 +155,233 @@ def _leads(key):
     return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
-def _turn(key, node, bits, seat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first row without a seat of every key, its hub; and which other rows without one are
-    compared with which hub."""
-    lead, free = _leads(key), np.flatnonzero(seat < 0)
-    hub = np.full(len(key), -1)
-    hub[lead[free][::-1]] = free[::-1]
-    at = hub[lead[free]]
-    ok = node[free] != node[at]
-    p, at = free[ok], at[ok]
-    ok = _may_link(bits, p, at, COMMON_BITS)
-    return hub[hub >= 0], p[ok], at[ok]
-
-
-def _seats(key, node, place, bits, lost: list[set]) -> tuple[np.ndarray, np.ndarray]:
-    """The hub that holds each row, or -1, and the turn in which it did. lost: for each turn the
-    key, node and place of the rows whose link to their hub failed."""
-    seat, turn = np.full(len(key), -1), np.full(len(key), len(lost))
-    for t, gone in enumerate(lost):
-        hubs, p, at = _turn(key, node, bits, seat)
-        ok = np.array([x not in gone for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)], bool)
-        seat[p[ok]], turn[p[ok]] = at[ok], t
-        seat[hubs], turn[hubs] = hubs, t
-    return seat, turn
-
-
-def _rest(key, node, bits, seat, turn) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a key that may link, but for those of one hub and those that a hub has
-    been compared with. Large groups go by blocks, the others all at once."""
-    lead, hub = _leads(key), seat == np.arange(len(key))
+def _hub_pairs(key, node, bits) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are compared with which first row of their key, their hub."""
+    lead = _leads(key)
+    p = np.flatnonzero(node != node[lead])
+    p = p[_may_link(bits, p, lead[p], COMMON_BITS)]
+    return p, lead[p]
+
+
+def _joined(key, node, place, bits, lost: set) -> np.ndarray:
+    """Which rows are joined to their hub. lost: key, node and place of the rows whose link to
+    it failed."""
+    lead = _leads(key)
+    out = node == node[lead]
+    p, _ = _hub_pairs(key, node, bits)
+    out[p] = [x not in lost for x in zip(key[p].view(np.int64).tolist(), node[p].tolist(), place[p].tolist(), strict=True)]
+    return out
+
+
+def _wanted(key, node, bits, joined) -> np.ndarray:
+    """Rows whose elements are asked for: those that may link to another that their hub does not
+    join them to, by their bits; of large keys, all."""
+    lead = _leads(key)
     size = np.bincount(lead, minlength=len(key))
-    before, behind = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+    loose = np.bincount(lead[~joined], minlength=len(key)) > 0
+    want = (size > LARGE)[lead] & loose[lead]
 
-    def fit(p, q):
-        done = (seat[p] == seat[q]) & (seat[p] >= 0) | hub[p] & (turn[q] >= turn[p]) | hub[q] & (turn[p] >= turn[q])
-        ok = ~done & (node[p] != node[q])
+    def mark(p, q):
+        ok = ~(joined[p] & joined[q]) & (node[p] != node[q])
         p, q = p[ok], q[ok]
         ok = _may_link(bits, p, q, REST_BITS)
-        return p[ok], q[ok]
+        want[p[ok]] = want[q[ok]] = True
 
-    for a in np.flatnonzero(size > LARGE):
-        end, i = a + size[a], a + 1
+    before, behind = np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1])
+    for a in np.flatnonzero((size > BLOCK_ROWS) & (size <= LARGE) & loose):
+        end, i = a + size[a], a
         while i < end:
             j = min(end, i + max(1, BLOCK_PAIRS // (end - i)))
             p, q = np.nonzero((np.bitwise_count(before[i:j, None] & before[None, i:end]) >= REST_BITS) | (np.bitwise_count(behind[i:j, None] & behind[None, i:end]) >= REST_BITS))
-            yield fit(i + p[p < q], i + q[p < q])
+            mark(i + p[p < q], i + q[p < q])
             i = j
-    at = np.flatnonzero((lead != np.arange(len(key))) & (size[lead] <= LARGE))
-    for shift in range(1, LARGE):
+    at = np.flatnonzero((size <= BLOCK_ROWS)[lead] & loose[lead])
+    for shift in range(1, BLOCK_ROWS):
         at = at[at + shift < len(key)]
         at = at[key[at] == key[at + shift]]
         if not len(at):
+            break
+        mark(at, at + shift)
+    return np.flatnonzero(want)
+
+
+def elements_around(s: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The REACH elements on either side of each place and its own; 0 beyond the ends."""
+    wide = np.concatenate((np.zeros(REACH, np.uint32), np.maximum(s, 1), np.zeros(REACH, np.uint32)))
+    return wide[places[:, None] + np.arange(2 * REACH + 1)]
+
+
+def _ranks(lead: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements around each row by number, rarest among its key's rows first, without
+    repeats; and as they stand."""
+    _, at, count = np.unique(lead.astype(np.uint64)[:, None] << np.uint64(32) | around, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    at = rank[at.reshape(around.shape)]
+    out = np.where(around > 0, at, FAR)
+    out.sort(axis=1)
+    out[:, 1:][out[:, 1:] == out[:, :-1]] = FAR
+    out.sort(axis=1)
+    return out, at
+
+
+def _least_distinct(around: np.ndarray, least: int) -> np.ndarray:
+    """How many different elements any `least` of a text hold at least that hold the row's."""
+    n, mid = around.shape[1], around.shape[1] // 2
+    out = np.full(len(around), least)
+    ordered = np.sort(around, axis=1)
+    for lo in range(0, len(around), 2000):
+        own = lo + np.flatnonzero(((ordered[lo : lo + 2000, 1:] == ordered[lo : lo + 2000, :-1]) & (ordered[lo : lo + 2000, 1:] > 0)).any(axis=1))
+        for i in range(max(0, mid - least + 1), min(mid, n - least) + 1) if len(own) else ():
+            part = np.sort(around[own, i : i + least], axis=1)
+            held = 1 + (part[:, 1:] != part[:, :-1]).sum(axis=1)
+            out[own] = np.minimum(out[own], np.where(part[:, 0] > 0, held, least))
+    return out
+
+
+def _balance(match: np.ndarray, least: int, share: float) -> np.ndarray:
+    """For rows of matches how many there are; 0 where no interval of `least` elements or more
+    that holds the middle has enough of them."""
+    mid, out = match.shape[1] // 2, match.sum(axis=1)
+    start = np.arange(mid + 1)
+    start = start[start + least <= match.shape[1]]
+    at = np.flatnonzero(out)
+    for lo in range(0, len(at), 2000):
+        own = at[lo : lo + 2000]
+        sums = np.zeros((len(own), match.shape[1] + 1), np.float32)
+        np.cumsum(np.where(match[own], np.float32(1), np.float32(-share / (1 - share))), axis=1, out=sums[:, 1:])
+        most = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
+        out[own[~(most[:, np.maximum(start + least, mid + 1)] >= sums[:, start] - 1e-3).any(axis=1)]] = 0
+    return out
+
+
+def forest(key, node, joined, around, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of rows of a key that have a passage in common, sorted by key: as many as join all
+    rows that such links connect, but for those that the joined rows of a key have already."""
+    lead, n, share = _leads(key), len(key), 2 * similarity / (1 + similarity)
+    mid = around.shape[1] // 2
+    root = np.arange(n)
+    first: dict[int, int] = {}
+    for i in np.flatnonzero(joined).tolist():
+        root[i] = first.setdefault(int(lead[i]), i)
+    links: list[tuple[int, int]] = []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def join(i, j):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((i, j))
+
+    def roots():
+        nonlocal root
+        while (root[root] != root).any():
+            root = root[root]
+        return root
+
+    # Rows that have `least` elements around them in common, at one place, are joined.
+    for i in range(max(0, mid - least + 1), mid + 1, 3):
+        whole = np.flatnonzero((around[:, i] > 0) & (around[:, i + least - 1] > 0))
+        h = mix(lead[whole].astype(np.uint64) + GOLD)
+        for k in range(i, i + least):
+            h = (h ^ around[whole, k]) * GOLD
+            h ^= h >> np.uint64(29)
+        _, at, own = np.unique(h, return_index=True, return_inverse=True)
+        top, now = whole[at[own]], roots()
+        for p, q in zip(*(x[now[top] != now[whole]].tolist() for x in (whole, top)), strict=True):
+            join(q, p)
+    # Of those with the same elements all around them, the first stands for the others.
+    same: dict[tuple, int] = {}
+    alone = np.ones(n, bool)
+    for i, (k, b) in enumerate(zip(lead.tolist(), map(bytes, around), strict=True)):
+        j = same.setdefault((k, b), i)
+        if j != i:
+            alone[i] = False
+            join(j, i)
+    rows = np.flatnonzero(alone)
+    ranks, numbers = _ranks(lead[rows], around[rows])
+    distinct = _least_distinct(around[rows], least)
+    some = np.ceil(share * distinct - 1e-6).astype(np.int64)
+    # The rarest elements, of which rows with so many in common share one.
+    count = (ranks < FAR).sum(axis=1)
+    r, c = np.nonzero(np.arange(ranks.shape[1]) < (count - some + 1)[:, None])
+    o = np.argsort(ranks[r, c], kind="stable")
+    element, r = ranks[r, c][o], r[o]
+    flag = np.zeros(int(numbers.max(initial=0)) + 1, bool)
+
+    def compare(p: int, others: np.ndarray):
+        """Joins row p to those of the others with which it has a passage."""
+        own = numbers[p][around[rows[p]] > 0]
+        flag[own] = True
+        match = flag[numbers[others]]
+        flag[own] = False
+        held = _balance(match, least, share)
+        i = int(rows[p])
+        # Those with most in common come first, as what they join need not be compared.
+        for k in np.argsort(-held, kind="stable")[: np.count_nonzero(held)].tolist():
+            j = int(rows[others[k]])
+            if find(i) != find(j):
+                (x, cx), (y, cy) = (_held(around[k], mid) for k in (i, j))
+                if similar_intervals(x, y, [(cx, cy)], least, similarity):
+                    join(i, j)
+
+    def open_lists():
+        """Rows of each element whose rows are not joined yet."""
+        nonlocal element, r
+        if not len(element):
             return
-        yield fit(at, at + shift)
+        top = _leads(element)
+        now = roots()[rows]
+        other = np.bincount(top[now[r] != now[r[top]]], minlength=len(element)) > 0
+        element, r = element[other[top]], r[other[top]]
+
+    open_lists()
+    # The first row of each element is compared with its others; then all rows with theirs but
+    # those that are in the largest part of their key.
+    top = _leads(element)
+    pairs = np.unique(r[top] * len(rows) + r) if len(element) else np.empty(0, np.int64)
+    p, q = np.divmod(pairs, max(1, len(rows)))
+    cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else ()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        others = q[a:b]
+        now = roots()
+        others = others[(now[rows[others]] != now[rows[p[a]]]) & (node[rows[others]] != node[rows[p[a]]])]
+        if len(others):
+            compare(int(p[a]), others)
+    open_lists()
+    if len(element):
+        now = roots()[rows]
+        part = np.bincount(now, minlength=n)
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, lead[rows], part[now] * n + now)
+        top, end = np.flatnonzero(_leads(element) == np.arange(len(element))), np.append(np.flatnonzero(element[1:] != element[:-1]) + 1, len(element))
+        o = np.argsort(r, kind="stable")
+        lists = (np.cumsum(np.concatenate(([True], element[1:] != element[:-1]))) - 1)[o]
+        cuts = np.flatnonzero(np.concatenate(([True], r[o][1:] != r[o][:-1], [True])))
+        done = np.zeros(len(rows), bool)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            p = int(r[o[a]])
+            if most[lead[rows[p]]] % n == now[p]:
+                continue
+            done[p] = True
+            others = np.unique(np.concatenate([r[top[k] : end[k]] for k in lists[a:b].tolist()]))
+            others, at = others[~done[others]], roots()
+            others = others[(at[rows[others]] != at[rows[p]]) & (node[rows[others]] != node[rows[p]])]
+            if len(others):
+                compare(p, others)
+    out = np.array(links, np.int64).reshape(-1, 2)
+    out = out[node[out[:, 0]] != node[out[:, 1]]]
+    return out[:, 0], out[:, 1]
+
+
+def _held(around: np.ndarray, mid: int) -> tuple[np.ndarray, int]:
+    """The elements around a row that its text has, and the row's place among them."""
+    inside = np.flatnonzero(around)
+    return around[inside[0] : inside[-1] + 1], mid - int(inside[0])
 
 
 def _link_rows(key, node, place, p, q) -> Iterator[pa.RecordBatch]:
@@ -311,40 +490,94 @@ def _owned(rows: DataFrame, owners: int) -> DataFrame:
                 continue
             one = pa.nulls(1, pa.int64())
             yield wide(pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), one, one, one, one, pa.array([_pack(key, node, place, bits)], pa.binary())], schema=SCHEMA))
-            _, p, hub = _turn(key, node, bits, np.full(len(key), -1))
+            p, hub = _hub_pairs(key, node, bits)
             for x in _link_rows(key, node, place, p, hub):
                 yield wide(x)
 
     return rows.repartition(owners, "owner").mapInArrow(run, OWNED)
 
 
-def _other_links(rows: DataFrame, failed: DataFrame, owners: int, turns: int) -> DataFrame:
-    """Links of the next turn, or, after the last, of all pairs of a key that are left. failed:
-    the owner, key, node and place of the rows whose link to their hub failed, and in which of
-    the turns so far."""
+def _asked(rows: DataFrame, failed: DataFrame, owners: int) -> DataFrame:
+    """Rows of a key whose elements its owner asks for. failed: the owner, key, node and place of
+    the rows whose link to their hub failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        lost: dict[int, list] = {}
+        lost: dict[int, set] = {}
         for b in batches:
-            for o, p, key, a, ca, t in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for o, p, key, a, ca in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if p is None:
-                    lost.setdefault(o, [set() for _ in range(turns)])[t].add((key, a, ca))
+                    lost.setdefault(o, set()).add((key, a, ca))
                 else:
                     held.setdefault(o, []).append(p)
-        for owner, parts in held.items():
+        while held:
+            owner, parts = held.popitem()
             key, node, place, bits = _grouped(parts)
-            seat, turn = _seats(key, node, place, bits, lost.get(owner, [()] * turns))
-            if turns < TURNS:
-                _, p, hub = _turn(key, node, bits, seat)
-                yield from _link_rows(key, node, place, p, hub)
-                continue
-            for p, q in _rest(key, node, bits, seat, turn):
-                yield from _link_rows(key, node, place, q, p)
+            joined = _joined(key, node, place, bits, lost.pop(owner, set()))
+            at = _wanted(key, node, bits, joined)
+            for i in range(0, len(at), 20_000):
+                x = at[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(key[x].view(np.int64)), pa.array(place[x]), pa.array(joined[x])], names=["node", "key", "place", "joined"])
 
     none = F.lit(None).cast("long")
-    sent = rows.where(F.col("packed").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"), F.lit(None).cast("int").alias("turn"))
-    sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca", "turn"))
+    sent = rows.where(F.col("packed").isNotNull()).select("owner", "packed", none.alias("key"), none.alias("a"), F.lit(None).cast("int").alias("ca"))
+    sent = sent.union(failed.select("owner", F.lit(None).cast("binary"), "key", "a", "ca"))
+    return sent.repartition(owners, "owner").mapInArrow(run, "node long, key long, place int, joined boolean")
+
+
+def _other_links(asked: DataFrame, owners: int, least: int, similarity: float) -> DataFrame:
+    """Links between rows of a key that are not joined by its hub. asked: node, its elements and
+    the rows of it that were asked for."""
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        owner = (cols[0] % np.uint64(owners)).astype(np.int32)
+        o = np.argsort(owner, kind="stable")
+        cols, owner = [c[o] for c in cols], owner[o]
+        cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+        packs = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for p, o in zip(packs, owner[cuts[:-1]].tolist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([p], pa.binary())], names=["owner", "packed"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            nodes, lists = b.column(0).to_numpy(), b.column(2)
+            at, flat = lists.offsets.to_numpy(), lists.flatten()
+            at = at - at[0]
+            key, place, joined = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for i, x in enumerate(b.column(1)):
+                own = slice(at[i], at[i + 1])
+                around = elements_around(np.frombuffer(x.as_py(), np.uint32), place[own])
+                held.append((key[own].view(np.uint64), np.full(len(around), nodes[i], np.int64), place[own].astype(np.int32), joined[own].astype(bool), around))
+                size += around.nbytes
+                if size > SEND_BYTES:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for o, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.setdefault(o, []).append(p.as_py())
+        kinds = ((np.uint64, 1), (np.int64, 1), (np.int32, 1), (bool, 1), (np.uint32, 2 * REACH + 1))
+        each = sum(np.dtype(t).itemsize * k for t, k in kinds)
+        while held:
+            cols: list[list] = [[] for _ in kinds]
+            for p in held.popitem()[1]:
+                n, at = len(p) // each, 0
+                for c, (t, k) in zip(cols, kinds, strict=True):
+                    c.append(np.frombuffer(p, t, n * k, at).reshape((n, k) if k > 1 else n))
+                    at += n * k * np.dtype(t).itemsize
+            key, node, place, joined, around = map(np.concatenate, cols)
+            o = np.lexsort((place, node, key))
+            key, node, place, joined, around = (c[o] for c in (key, node, place, joined, around))
+            p, q = forest(key, node, joined, around, least, similarity)
+            yield from _link_rows(key, node, place, q, p)
+
+    sent = asked.mapInArrow(gather, "owner int, packed binary")
     return sent.repartition(owners, "owner").mapInArrow(run, LINKS)
 
 
@@ -484,9 +717,9 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
 
     Rows: doc_id, start_word, end_word (exclusive), other_id, other_start, other_end, jaccard
     (of the passages' distinct shingles, at least `similarity`), and kind. kind 'passage'
-    joins representatives of texts: each text is joined to a first text of every key with which
-    it has a passage there, and to all texts of the key with which it has one, but for those
-    with the same first text. So n texts of a passage give about n rows. kind
+    joins representatives of texts: those that have a passage around a key are joined to the first
+    text of the key where it has one with them, else by links that connect all texts of the
+    key that passages connect. So n texts of a passage give about n rows. kind
     'copy' joins a document to the least id of those with the same words. Documents without
     a repeated passage have no row; null and shorter texts have none. Rows that repeat an id
     count as documents; other columns are not read. Words stand between ASCII white space,
@@ -509,8 +742,7 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
                 seqs = [(sequence(t.as_py(), shingle, memo)[0] >> np.uint64(32)).astype(np.uint32).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.binary())], names=["node", "elements"])
 
-    def sequences_of(pairs: DataFrame) -> DataFrame:
-        near = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def sequences_of(near: DataFrame) -> DataFrame:
         want = materialise(reps.join(near, "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash")), "passage-reps")
         want_ = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -530,7 +762,14 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
             for r, (x, y) in enumerate(zip(t.column(3), t.column(4), strict=True)):
                 own = slice(at[r], at[r + 1])
                 px, py = ca[own], cb[own]
-                found = similar_intervals(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), list(zip(px.tolist(), py.tolist(), strict=True)), least, similarity)
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                found = similar_intervals(x, y, list(zip(px.tolist(), py.tolist(), strict=True)), least, similarity)
+                for c, d in zip(px.tolist(), py.tolist(), strict=True) if last else ():
+                    # Such a link has a passage near by, also where none as wide as can be is found.
+                    if not any(i <= c <= j and k <= d <= m for i, j, k, m, _ in found):
+                        lo, to = max(0, c - REACH), max(0, d - REACH)
+                        near = similar_intervals(x[lo : c + REACH + 1], y[to : d + REACH + 1], [(c - lo, d - to)], least, similarity)
+                        found += [(i + lo, j + lo, k + to, m + to, s) for i, j, k, m, s in near]
                 for i, j, k, m, s in found:
                     out.append((first[r], second[r], i, j + shingle, k, m + shingle, s, None, None, None))
                     failed[own] &= ~((i <= px) & (px <= j) & (k <= py) & (py <= m))
@@ -544,10 +783,11 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
             none = [pa.nulls(len(row), k) for k in kinds[2:7]]
             yield pa.RecordBatch.from_arrays([pa.array(first[row]), pa.array(second[row]), *none, pa.array(owner), pa.array(keys[failed]), pa.array(ca[failed])], names=names)
 
-    def verified(links: DataFrame, last: bool) -> DataFrame:
+    def verified(links: DataFrame, last: bool, seqs: DataFrame | None = None) -> DataFrame:
         pairs = materialise(links.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("ca", "cb", "key"))).alias("places")), "passage-links")
         free_shuffles(spark)
-        seqs = sequences_of(pairs)
+        if seqs is None:
+            seqs = sequences_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         x = seqs.select(F.col("node").alias("a"), F.col("elements").alias("xa")).dropDuplicates(["a"])
         y = seqs.select(F.col("node").alias("b"), F.col("elements").alias("xb")).dropDuplicates(["b"])
         # A pair brings its texts along: in turns of two pairs a text, for the disk.
@@ -563,14 +803,13 @@ def repeated_passages(docs: DataFrame, words: int = LEAST_WORDS, similarity: flo
         free_shuffles(spark)
         return done
 
-    links, failed, parts = rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb", "key"), None, []
-    for t in range(TURNS):
-        parts.append(verified(links, False))
-        lost = parts[-1].where(F.col("owner").isNotNull()).select("owner", "key", "a", "ca", F.lit(t).alias("turn"))
-        failed = lost if failed is None else failed.union(lost)
-        links = _other_links(rows, failed, owners, t + 1)
-    parts.append(verified(links, True))
-    found = functools.reduce(DataFrame.union, parts).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
+    hubs = verified(rows.where(F.col("a").isNotNull()).select("a", "b", "ca", "cb", "key"), False)
+    asked = _asked(rows, hubs.where(F.col("owner").isNotNull()).select("owner", "key", "a", "ca"), owners)
+    asked = materialise(asked.groupBy("node").agg(F.collect_list(F.struct("key", "place", "joined")).alias("asked")), "passage-asked")
+    seqs = sequences_of(asked.select("node"))
+    others = verified(_other_links(seqs.join(asked, "node").select("node", "elements", "asked"), owners, least, similarity), True, seqs)
+    drop_path(spark, asked.scratch)
+    found = hubs.union(others).where(F.col("owner").isNull()).select("a", "b", "sa", "ea", "sb", "eb", "jaccard").distinct()
     first = reps.select("node", F.col("rep.id").alias("first"))
     found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("ia")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("ib")), "b")
     out = found.select(F.col("ia").alias(id_col), F.col("sa").alias("start_word"), F.col("ea").alias("end_word"), F.col("ib").alias("other_id"), F.col("sb").alias("other_start"), F.col("eb").alias("other_end"), "jaccard", F.lit("passage").alias("kind"))

@@ -651,3 +651,29 @@ def test_pairs_without_a_passage_are_told_before_their_links(monkeypatch):
         for c in np.flatnonzero(match).tolist():
             i, j = around(match, c, 0.8, True)
             assert j - i + 1 < 46 if held is None or not held[c] else j - i + 1 >= 46
+
+
+def test_rows_of_a_frequent_line_bring_no_pairs(monkeypatch):
+    """Rows of a key whose texts share a line only are not compared, however many they are; those
+    that share a passage are joined by as many links as it takes."""
+    r, calls = np.random.default_rng(14), []
+    similar = passages.similar_intervals
+    monkeypatch.setattr(passages, "similar_intervals", lambda *a: calls.append(a) or similar(*a))
+    n, mid = 300, passages.REACH
+    around = r.integers(1, 1 << 32, (n, 2 * mid + 1), dtype=np.uint32)
+    around[:, mid - 15 : mid + 15] = around[0, mid - 15 : mid + 15]
+    key, node = np.full(n, 5, np.uint64), np.arange(n)
+    p, q = passages.forest(key, node, np.zeros(n, bool), around, 46, 0.8)
+    assert not len(p) and not calls
+    # Of 100 rows a passage of 46 with five elements that differ, of 20 others another one.
+    for rows in (range(50, 150), range(200, 220)):
+        around[rows, mid - 20 : mid + 26] = around[rows[0], mid - 20 : mid + 26]
+        for i in rows[1::2]:
+            around[i, mid + 21 : mid + 26] = r.integers(1, 1 << 32, 5, dtype=np.uint32)
+    p, q = passages.forest(key, node, np.zeros(n, bool), around, 46, 0.8)
+    root = list(range(n))
+    for a, b in zip(p.tolist(), q.tolist(), strict=True):
+        x, y = root[a], root[b]
+        root = [x if k == y else k for k in root]
+    assert len(p) == 99 + 19 and {root[i] for i in range(50, 150)} != {root[i] for i in range(200, 220)}
+    assert len({root[i] for i in range(50, 150)}) == len({root[i] for i in range(200, 220)}) == 1
