@@ -11,6 +11,7 @@ at least one choice of cells has equal elements, and the sets share that signatu
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from itertools import combinations
@@ -28,6 +29,8 @@ MEMO_WORDS = 300_000
 #: The least width of a sketch. It grows with the set, a bit for an element at least: where 0.8
 #: is asked for, it then lets pass few pairs below 0.74.
 SKETCH_BITS = 512
+#: Cuts of the domain under which a set is sent at most.
+TURNS = 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -76,13 +79,20 @@ def set_arrays(texts, n: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]
 
 
 class PartEnum:
-    """Signatures for a similarity of num / den. Parts are as many as k allows; k2 and n2
-    say how many cells a part has, and how many of them may differ. cut: which of many cuts of
-    the domain into cells; linked sets share a signature under every one."""
+    """Signatures for a similarity of num / den. k2 and n2 say how many cells a part has, and how
+    many of them may differ. cut: which of many cuts of the domain into cells; linked sets share
+    a signature under every one.
+
+    A choice of cells that are all empty says nothing: its signature would be that of a share of
+    all sets of the band, whatever they hold, and groups would grow with the input. Hence there
+    are some parts more than k needs (spare): of the parts in which linked sets differ in k2
+    elements at most there are spare + 1 then. If such sets share no signature but empty ones, each
+    has more than spare parts with an empty choice; sets that have are sent under another cut,
+    too, and under the last of TURNS cuts with their empty choices."""
 
     def __init__(self, num: int, den: int, n2: int = 3, k2: int = 1, cut: int = 0):
         self.num, self.den, self.n2, self.k2 = num, den, n2, k2
-        self.salt = mix(np.array([cut], np.uint64) * GOLD) ^ np.uint64(0xD6E8FEB86659FD93)
+        self.salts = [mix(np.array([cut + 1000 * turn], np.uint64) * GOLD) ^ np.uint64(0xD6E8FEB86659FD93) for turn in range(TURNS)]
         self.plans: dict[int, tuple] = {}
         self.bands: list[tuple[int, int]] = []
 
@@ -92,15 +102,23 @@ class PartEnum:
             self.bands.append((low, low * self.den // self.num))
         return int(np.searchsorted([b[1] for b in self.bands], size))
 
-    def plan(self, band: int) -> tuple[int, int, int]:
-        """(k, parts, cells that may differ): linked sets of bands band - 1 and band differ
-        in at most k elements; with parts * (k2 + 1) > k some part differs in k2 at most."""
+    def plan(self, band: int) -> tuple[int, int, int, int]:
+        """(k, parts, cells that may differ, spare): linked sets of bands band - 1 and band differ
+        in at most k elements; with (parts - spare) * (k2 + 1) > k more than spare parts differ in
+        k2 at most. Spare parts are as many as have an empty choice in most sets of the bands."""
         if band not in self.plans:
             while len(self.bands) <= band:
                 self.band(self.bands[-1][1] + 1 if self.bands else 1)
             k = 2 * self.bands[band][1] * (self.den - self.num) // (self.den + self.num)
             k2 = min(self.k2, k)
-            self.plans[band] = (k, k // (k2 + 1) + 1, k2)
+            parts, spare, size = k // (k2 + 1) + 1, 0, 0.9 * self.bands[band][0]
+            while k2:
+                n = parts + spare
+                empty = n * min(1.0, math.comb(self.n2, k2) * math.exp(-size / n * (self.n2 - k2) / self.n2))
+                if spare + 1 > empty + 2 * math.sqrt(empty) or spare == parts:
+                    break
+                spare += 1
+            self.plans[band] = (k, parts + spare, k2, spare)
         return self.plans[band]
 
     def signatures(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,35 +126,55 @@ class PartEnum:
         sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         some = np.flatnonzero(sizes)
         own = np.array([self.band(int(n)) for n in sizes[some]], np.int64)
-        doc = np.repeat(np.arange(len(some)), sizes[some])
-        place = mix(flat ^ self.salt)
         for step in (0, 1):
-            band = own + step
-            plans = {b: self.plan(b) for b in set(band.tolist())}
-            parts = np.array([plans[b][1] for b in band.tolist()], np.int64)
-            # A set whose k is 0 has one cell: its signature is the set itself.
-            cells = np.array([plans[b][1] * (self.n2 if plans[b][2] else 1) for b in band.tolist()], np.int64)
-            base = np.concatenate(([0], np.cumsum(cells)))
-            at = base[doc] + (place % cells.astype(np.uint64)[doc]).astype(np.int64)
-            # A cell's hash: the sum of its elements' hashes, wrapping; order doesn't matter.
-            sums = np.zeros(int(base[-1]), np.uint64)
-            np.add.at(sums, at, mix(flat + band.astype(np.uint64)[doc]))
-            for k2 in {p[2] for p in plans.values()}:
-                n2 = self.n2 if k2 else 1
-                pick = np.array([plans[b][2] == k2 for b in band.tolist()])
-                d = np.repeat(np.flatnonzero(pick), parts[pick])
-                grid = sums[np.repeat(pick, cells)].reshape(-1, n2)
-                first = np.cumsum(parts[pick]) - parts[pick]
-                part = np.arange(len(d)) - np.repeat(first, parts[pick])
-                tag = mix((band[d].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64))
-                for j, chosen in enumerate(combinations(range(n2), n2 - k2)):
-                    v = tag + np.uint64(j)
-                    for c in chosen:
-                        v = mix(v) + grid[:, c]
-                    sigs.append(mix(v))
-                    owners.append(some[d])
+            sets, sized, band, elements = some, sizes[some], own + step, flat
+            for turn in range(TURNS):
+                sig, at, again = self._cut(elements, sized, band, turn)
+                sigs.append(sig)
+                owners.append(sets[at])
+                if not again.any():
+                    break
+                elements = elements[np.repeat(again, sized)]
+                sets, sized, band = sets[again], sized[again], band[again]
         return np.concatenate(sigs), np.concatenate(owners)
 
+    def _cut(self, flat: np.ndarray, sizes: np.ndarray, band: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of sets under one cut, each one's set, and which sets go on to another cut."""
+        sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        place = mix(flat ^ self.salts[turn])
+        plans = {b: self.plan(b) for b in set(band.tolist())}
+        parts = np.array([plans[b][1] for b in band.tolist()], np.int64)
+        spare = np.array([plans[b][3] for b in band.tolist()], np.int64)
+        # A set whose k is 0 has one cell: its signature is the set itself.
+        cells = np.array([plans[b][1] * (self.n2 if plans[b][2] else 1) for b in band.tolist()], np.int64)
+        base = np.concatenate(([0], np.cumsum(cells)))
+        at = base[doc] + (place % cells.astype(np.uint64)[doc]).astype(np.int64)
+        # A cell's hash: the sum of its elements' hashes, wrapping; order doesn't matter.
+        sums = np.zeros(int(base[-1]), np.uint64)
+        np.add.at(sums, at, mix(flat + band.astype(np.uint64)[doc]))
+        again = np.zeros(len(sizes), bool)
+        for k2 in {p[2] for p in plans.values()}:
+            n2 = self.n2 if k2 else 1
+            pick = np.array([plans[b][2] == k2 for b in band.tolist()])
+            d = np.repeat(np.flatnonzero(pick), parts[pick])
+            grid = sums[np.repeat(pick, cells)].reshape(-1, n2)
+            first = np.cumsum(parts[pick]) - parts[pick]
+            part = np.arange(len(d)) - np.repeat(first, parts[pick])
+            # No band and no part is beyond 24 bits.
+            tag = mix((np.uint64(turn) << np.uint64(56)) + (band[d].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64))
+            choices = list(combinations(range(n2), n2 - k2))
+            empty = [(grid[:, chosen] == 0).all(1) for chosen in choices]
+            again |= np.bincount(d[np.logical_or.reduce(empty)], minlength=len(sizes)) > spare
+            for j, chosen in enumerate(choices):
+                keep = ~empty[j] | again[d] if turn == TURNS - 1 else ~empty[j]
+                v = tag[keep] + np.uint64(j)
+                for c in chosen:
+                    v = mix(v) + grid[keep, c]
+                sigs.append(mix(v))
+                owners.append(d[keep])
+        return np.concatenate(sigs), np.concatenate(owners), again
+
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parities of the set's elements in cells, SKETCH_BITS or the least power of two from the

@@ -677,3 +677,20 @@ def test_rows_of_a_frequent_line_bring_no_pairs(monkeypatch):
         root = [x if k == y else k for k in root]
     assert len(p) == 99 + 19 and {root[i] for i in range(50, 150)} != {root[i] for i in range(200, 220)}
     assert len({root[i] for i in range(50, 150)}) == len({root[i] for i in range(200, 220)}) == 1
+
+
+def test_unrelated_sets_share_no_signature_of_empty_cells(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 64, 60, np.uint64)) for _ in range(4000)]
+    sig, _ = partenum.PartEnum(8, 10).signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert np.unique(sig, return_counts=True)[1].max() <= 40
+    # Linked sets share a signature after any number of cuts.
+    for turns in (1, 2, 4):
+        monkeypatch.setattr(partenum, "TURNS", turns)
+        plan = partenum.PartEnum(8, 10)
+        for size in [*range(1, 40), 60, 200] * 4:
+            a = rng.integers(0, 1 << 64, size, np.uint64)
+            out = int(rng.integers(0, size // 9 + 1))
+            b = np.concatenate((a[out:], rng.integers(0, 1 << 64, out, np.uint64)))
+            sig, at = plan.signatures(np.concatenate((np.sort(a), np.sort(b))), np.array([size, size]))
+            assert np.intersect1d(sig[at == 0], sig[at == 1]).size
