@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,8 +141,13 @@ def compare(scored: DataFrame, models: list[str], actual: str = "rating") -> Dat
 
 #: Ratings of a block of users, at most (but for one user's).
 SVD_CELLS = 4_000_000
+#: Ratings that are packed at a time, as a worker holds them several times meanwhile.
+SVD_BLOCK = 500_000
 #: Tasks of a product with the matrix, at most.
 SVD_TASKS = 8
+#: Numbers of a vector that reach the driver as one result: so small that it comes with the
+#: task's message. Products after which the driver lets go of their shuffle files and buffers.
+SVD_PIECE, SVD_FREE = 64_000, 8
 
 
 def top_eigenvectors(product, n: int, k: int, tol: float = 1e-10, restarts: int = 300, seed: int = 0) -> np.ndarray:
@@ -197,7 +203,8 @@ class SVD:
     The reconstruction is M V V': only V, items x factors, is made; predictions are sums over
     a user's ratings. The dense matrix never exists. Products with M are made by blocks of
     users; beyond one block the
-    driver holds 2 n_factors + 2 vectors of a number for each item, and those of SVD_TASKS tasks."""
+    driver's Python holds 2 n_factors + 2 vectors of a number for each item. Its JVM passes one
+    such vector on at a time: products are summed by pieces among the executors."""
 
     def __init__(self, n_factors: int = 50, clip_to: tuple[float, float] | None = None, to_half_stars: bool = False, user: str = "userID", item: str = "movieID", rating: str = "interaction_rating"):
         self.k, self.clip_to, self.half, self.user, self.item, self.rating = n_factors, clip_to, to_half_stars, user, item, rating
@@ -215,17 +222,32 @@ class SVD:
         parts = -(-n_cells // SVD_CELLS)
         parts = 1 if parts < 2 else max(parts, sc.defaultParallelism)
         rated = cells.where("u IS NOT NULL AND i IS NOT NULL").select("u", F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"))
-        packed = rated.repartition(parts, "u").sortWithinPartitions("u", "i").mapInArrow(_svd_blocks(shared, SVD_CELLS), f"users array<{cells.schema['u'].dataType.simpleString()}>, means binary, sizes binary, cols binary, x binary")
+        packed = rated.repartition(parts, "u").sortWithinPartitions("u", "i").mapInArrow(_svd_blocks(shared, min(SVD_CELLS, SVD_BLOCK)), f"users array<{cells.schema['u'].dataType.simpleString()}>, means binary, sizes binary, cols binary, x binary")
         packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
-        # Each task sends a vector of all items to the driver at each of some hundred products.
+        # Each task sends a vector of all items, by pieces, at each of some hundred products.
         blocks = packed.select("sizes", "cols", "x").rdd.map(_svd_arrays).coalesce(min(parts, SVD_TASKS)).persist(StorageLevel.MEMORY_AND_DISK)
 
         k = max(1, min(self.k, min(width, n_users) - 1))
 
+        piece, made = SVD_PIECE, 0
+
         def product(v: np.ndarray) -> np.ndarray:
-            sent = sc.broadcast(v)
-            y = blocks.mapPartitions(lambda rows: [_gram_product(rows, sent.value, width)]).reduce(np.add)
+            nonlocal made
+            sent, y = sc.broadcast(v), np.zeros(width)
+
+            def pieces(rows):
+                x = _gram_product(rows, sent.value, width)
+                return ((at, x[at : at + piece]) for at in range(0, width, piece))
+
+            summed = blocks.mapPartitions(pieces).reduceByKey(np.add, -(-width // piece), lambda at: at // piece)
+            for at, x in summed.collect():
+                y[at : at + piece] = x
             sent.destroy()
+            made += 1
+            if made % SVD_FREE == 0:
+                del summed
+                gc.collect()
+                sc._jvm.System.gc()
             return y
 
         def alone(rows):
@@ -235,8 +257,11 @@ class SVD:
         # What one task can hold is left to one: some hundred products are as many jobs.
         v = blocks.mapPartitions(alone).first() if parts == 1 else top_eigenvectors(product, width, k)
         blocks.unpersist()
-        self.item_factors = spark.createDataFrame(pa.table({"i": ids, "f": pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(v).ravel(), k).cast(pa.list_(pa.float64()))}))
         factors = sc.broadcast(v)
+        del v
+        # Tasks make the rows of this table: the driver's JVM would hold them all.
+        pieces = -(-width // piece)
+        self.item_factors = spark.range(0, pieces, 1, max(1, pieces)).mapInArrow(_svd_items(shared, factors, piece), "i long, f array<double>")
         self.user_factors = packed.mapInArrow(_svd_users(factors), f"u {cells.schema['u'].dataType.simpleString()}, mean double, f array<double>")
         self.users = self.user_factors.select("u", "mean")
         return self
@@ -324,6 +349,19 @@ def _svd_arrays(row) -> tuple:
     return np.frombuffer(row.sizes, np.int64), np.frombuffer(row.cols, np.int32), np.frombuffer(row.x)
 
 
+def _svd_items(ids, factors, piece: int):
+    """Items with their factors, those of a piece for each row."""
+
+    def run(batches):
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                i, v = (x.value[at * piece : (at + 1) * piece] for x in (ids, factors))
+                f = pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(v).ravel(), v.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), f.cast(pa.list_(pa.float64()))], names=["i", "f"])
+
+    return run
+
+
 def _svd_users(factors, rows: int = 10_000):
     """Users with means and factors, the sums of their centred ratings times the items' factors."""
 

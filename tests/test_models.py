@@ -152,3 +152,24 @@ def test_baselines(spark):
     assert math.isclose(got[9].blend, 11 / 3)
     table = {r.model: r for r in M.compare(M.baselines(train, test), ["global", "blend"]).collect()}
     assert table["blend"].mae <= table["global"].mae
+
+
+def test_svd_sends_the_driver_small_results_only(spark, monkeypatch):
+    from pyspark import RDD
+    from pyspark.sql import SparkSession
+
+    sent, collect, create = [], RDD.collect, SparkSession.createDataFrame
+    monkeypatch.setattr(RDD, "collect", lambda self: [sent.append(max((np.size(x[-1] if isinstance(x, tuple) else x) for x in p), default=0)) for p in collect(self.glom())] and collect(self))
+    monkeypatch.setattr(M, "SVD_CELLS", 500)
+    monkeypatch.setattr(M, "SVD_PIECE", 16, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(u, i, float(r)) for u in range(60) for i, r in enumerate(rng.integers(1, 11, 50) / 2) if r > 1]
+    df = spark.createDataFrame(rows, "userID bigint, movieID bigint, interaction_rating double")
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **b: pytest.fail("factors made on the driver"))
+    m = M.SVD(n_factors=2).fit(df)
+    monkeypatch.setattr(SparkSession, "createDataFrame", create)
+    assert sent and max(sent) <= 16
+    v = {r.i: r.f for r in m.item_factors.collect()}
+    assert sorted(v) == list(range(50))
+    f = np.array([v[i] for i in range(50)])
+    assert np.allclose(f.T @ f, np.eye(2), atol=1e-9)
